@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.llm import language_id, media, near_dup, packing, token_counts
+from lanewise.llm import language_id, media, near_dup, packing, pii, token_counts
 from lanewise.llm.common import table
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
