@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import language_id, media, mixing, near_dup, packing, pii, token_counts, topk, url_filter
+from lanewise.llm import language_id, licenses, media, mixing, near_dup, packing, pii, token_counts, topk, url_filter
 from lanewise.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
 
