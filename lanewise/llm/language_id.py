@@ -148,22 +148,22 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, ratio: float = RA
     return Filters(languages, masks)
 
 
-def predicted(df: DataFrame, filters: Broadcast, text: str = "text") -> DataFrame:
-    """Appends lang_pred and score."""
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predicted(df: DataFrame, filters: Broadcast, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Appends two columns of the given names: the language and its score."""
+    schema = T.StructType([*df.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     at = df.columns.index(text)
 
     def work(batches):
         known: Filters = filters.value
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            names, scores = ["und"] * len(texts), np.zeros(len(texts))
+            found, scores = ["und"] * len(texts), np.zeros(len(texts))
             if known.languages and texts:
                 shares, sizes = known.scores(texts)
                 best = shares.argmax(axis=1)
-                names = [known.languages[k] if n else "und" for k, n in zip(best, sizes, strict=True)]
+                found = [known.languages[k] if n else "und" for k, n in zip(best, sizes, strict=True)]
                 scores = np.where(sizes > 0, shares.max(axis=1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores)], names=schema.names)
 
     return df.mapInArrow(work, schema)
 
@@ -178,3 +178,10 @@ def identify(docs: DataFrame) -> DataFrame:
     filters = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~apart).select("doc_id", "text", "lang")))
     texts = docs.select("doc_id", apart.alias("held_out"), text_or_empty(docs).alias("text"))
     return predicted(texts, filters).drop("text")
+
+
+def in_known_languages(docs: DataFrame, least: float = 0.25) -> DataFrame:
+    """``docs`` without texts in no language (``und``) or with a score under ``least`` in the best one; learns from all labelled rows."""
+    filters = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text", "lang")))
+    told = predicted(docs, filters, names=("_lang", "_score"))
+    return told.where((F.col("_lang") != "und") & (F.col("_score") >= least)).select(*docs.columns)

@@ -137,9 +137,9 @@ def mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
 
 
 def repeated(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
-    """``docs`` with each row as often as the mixture takes it. The texts aren't shuffled: a row is in its source's last pass if its hash is up to the last one taken."""
+    """``docs`` with each row as often as the mixture takes it. The texts aren't shuffled: a row is in its source's last pass if its hash is up to the last one taken. ``docs`` is a table as it is read."""
     mix = mix or Mix()
-    rows = cut(numbered(docs), "rows")
+    rows = numbered(docs)
     sizes = sizes_of(rows.select("_row", "doc_id", "source", "text"))
     plan = weighted(sizes, mix)
     partial = sizes.join(plan.where("rest > 0"), "_source").select("_row", "_source", "n_tokens", "rest", F.col("passes").alias("pass"))

@@ -211,11 +211,14 @@ def _rooted(df: DataFrame, labels: DataFrame | None, *columns: str) -> DataFrame
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
-    return components(docs, words).drop("_row")
+    return components(docs, words).drop("_row", "_group")
 
 
 def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """As near_duplicates, and ``_row``: of ``docs`` where it has such a column."""
+    """As near_duplicates, with ``_row`` (of ``docs`` where it has such a column) and ``_group``, a number that a component has alone.
+
+    Without a column ``_row``, ``docs`` must be a table as it is read: its rows are numbered by their places.
+    """
     texts = docs.select("doc_id", text_or_empty(docs).alias("text"), *(["_row"] if "_row" in docs.columns else []))
     texts = texts if "_row" in docs.columns else numbered(texts)
     all_docs = cut(signatures(texts, words), "signatures")
@@ -261,8 +264,16 @@ def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
             break
     rooted = cut(_rooted(classes.withColumn("root", F.col("node")), labels, "root"), "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = rooted.join(least, "root").select("key_a", "key_b", "component_id")
+    found = rooted.join(least, "root").select("key_a", "key_b", "component_id", F.col("root").alias("_group"))
     out = all_docs.select("_row", "doc_id", "n_shingles", "key_a", "key_b").where("n_shingles > 0").join(found, ["key_a", "key_b"])
-    alone = all_docs.where("n_shingles = 0").select("_row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = out.select("_row", "doc_id", "n_shingles", "component_id").unionByName(alone)
+    alone = all_docs.where("n_shingles = 0").select("_row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("_row").alias("_group"))
+    out = out.select("_row", "doc_id", "n_shingles", "component_id", "_group").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def first_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``docs`` with one row of each component: that of its least doc_id. ``docs`` is a table as it is read."""
+    rows = numbered(docs)
+    groups = components(rows.select("_row", "doc_id", "text"), words)
+    first = groups.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("_row").alias("_kept"))).alias("first")).select("first._kept")
+    return rows.join(first, rows["_row"] == first["_kept"], "left_semi").select(*docs.columns)

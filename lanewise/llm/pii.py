@@ -230,8 +230,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span of ``text`` replaced by its kind in brackets; overlapping spans go together. Null stays null."""
-    rows = cut(numbered(docs), "rows")
+    """``docs`` with each span of ``text`` replaced by its kind in brackets; overlapping spans go together. Null stays null. ``docs`` is a table as it is read."""
+    rows = numbered(docs)
     spans = personal_data(rows.select("_row", "doc_id", "text")).where(F.size("spans") > 0).select(F.col("_row").alias("_at"), "spans")
     out = F.expr("""aggregate(spans, named_struct('at', 0, 'text', ''),
         (s, x) -> CASE WHEN x.start >= s.at THEN named_struct('at', x.end, 'text', concat(s.text, substring(text, s.at + 1, x.start - s.at), '[', upper(x.kind), ']'))
