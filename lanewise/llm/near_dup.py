@@ -10,7 +10,9 @@ class; classes are the nodes of the link graph, so copies never meet in pairs.
    five standard errors of the threshold (or above) are confirmed.
 3. Pairs are confirmed on the full sets, made again from the texts. Two rounds link each class to one leader
    (the candidate in its buckets with the best estimate), which unites nearly all groups with one link per
-   class; a last round takes all pairs that share a bucket and aren't united yet.
+   class. A last round takes the classes whose buckets still hold several components: over these, shingles
+   are ordered by how many of the classes have them, and two similar sets must share one among the first of
+   each (prefix filter: exact, and it passes over what all copies of a text have in common).
 
 Components come from hooking each root to its least neighbour and pointer jumping; links, components and
 signatures stay in tables. A pair at the threshold shares no band with a probability of 1.3e-6.
@@ -26,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import cut, numbered, text_or_empty
@@ -201,6 +203,34 @@ def united(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         edges = _rooted(edges, roots, "u", "v")
 
 
+def _overlap(a: Column, b: Column) -> Column:
+    """How many shingles two sets of these sizes must share."""
+    return F.ceil(F.lit(NUMERATOR) * (a + b) / F.lit(NUMERATOR + DENOMINATOR))
+
+
+def _sharing_prefixes(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(u, v) of different roots that may be similar enough. nodes: node, root; texts: node, text."""
+
+    def work(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), words, hashes) for t in batch.column("text")]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            columns = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("node", "root")] + [np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "root", "size", "shingle"])
+
+    shingles = cut(nodes.join(texts, "node").select("node", "root", "text").mapInArrow(work, "node long, root long, size long, shingle long"), "shingles")
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "shingle"))
+    least = F.ceil(F.lit(NUMERATOR) * F.col("size") / F.lit(DENOMINATOR))  # a partner has so many shingles at least
+    first = shingles.join(common, "shingle", "left").withColumn("place", place).where((F.col("place") <= F.col("size") - least + 1) & F.col("n").isNotNull())
+    first = cut(first.select("node", "root", "size", "shingle", "place"), "prefixes")
+    a, b = (first.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "place")]) for x in "uv")
+    needed = _overlap(F.col("size_u"), F.col("size_v"))
+    fits = (F.col("node_u") < F.col("node_v")) & (F.col("root_u") != F.col("root_v")) & (F.col("place_u") <= F.col("size_u") - needed + 1) & (F.col("place_v") <= F.col("size_v") - needed + 1)
+    return a.join(b, (a["shingle"] == b["shingle"]) & fits).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+
+
 def _rooted(df: DataFrame, labels: DataFrame | None, *columns: str) -> DataFrame:
     """Columns of nodes become columns of their roots."""
     for c in columns if labels is not None else ():
@@ -251,8 +281,7 @@ def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
             best = F.max_by("u", F.struct("estimate", -F.col("u"))).alias("u")
             pairs = likely(pairs).groupBy("v").agg(best)
         else:
-            a, b = buckets.select("key", F.col("node").alias("u"), F.col("root").alias("root_u")), buckets.select("key", F.col("node").alias("v"), F.col("root").alias("root_v"))
-            pairs = likely(a.join(b, "key").where("u < v and root_u <> root_v").select("u", "v").distinct())
+            pairs = likely(_sharing_prefixes(buckets.select("node", "root").distinct(), node_texts, words))
             pairs = pairs.join(tried, (F.least("u", "v") == F.col("x")) & (F.greatest("u", "v") == F.col("y")), "left_anti")
         pairs = cut(pairs.select("u", "v"), "pairs")
         if not pairs.isEmpty():
