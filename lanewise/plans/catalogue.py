@@ -239,9 +239,9 @@ def _with_md(spark, sf_dir):
     return c.withColumn("md", scoring.md_string(F.col("cigar"), F.array_join(F.transform(behind, lambda x: x["base"]), "")))
 
 
-@query(_RUNS + """SELECT read_no, gid, pos, string_agg(CASE WHEN same THEN CAST(n AS VARCHAR) ELSE reverse(translate(bases, 'ACGT', 'TGCA')) END, '' ORDER BY i DESC) AS md FROM ordered WHERE gid % 2 = 1 GROUP BY ALL""")
+@query(_RUNS + """SELECT read_no, gid, pos, string_agg(CASE WHEN same THEN CAST(n AS VARCHAR) ELSE reverse(translate(bases, 'ACGT', 'TGCA')) END, '' ORDER BY i DESC) AS md FROM ordered GROUP BY ALL""")
 def reverse_md(spark, sf_dir):
-    return _with_md(spark, sf_dir).where("gid % 2 = 1").select("read_no", "gid", "pos", codecs.reverse_md(F.col("md")).alias("md"))
+    return _with_md(spark, sf_dir).select("read_no", "gid", "pos", codecs.reverse_md(F.col("md")).alias("md"))
 
 
 @query(_RUNS + """SELECT read_no, gid, pos, CAST(sum(CASE WHEN NOT same AND (nth > 1 OR clip > 0) THEN n ELSE 0 END) AS INTEGER) AS nm, clip FROM ordered GROUP BY read_no, gid, pos, clip""")
@@ -343,3 +343,104 @@ def task_status_counts(spark, sf_dir):
     kind = F.when(F.col("event_type") == "click", "RUNNING").when(F.col("event_type") == "view", "FINISHED").otherwise("WAITING")
     tasks = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 8 + 1).alias("lane"), kind.alias("status"))
     return tasks.groupBy("lane", "status").agg(F.count("*").alias("n"), F.bool_and(F.col("status") == "FINISHED").alias("done"))
+
+
+# ---- the whole mapper on the derived reads; beyond SQL, held against brute force in tests ----
+
+
+def _mapper(spark, sf_dir, mode="ALL", **more):
+    from lanewise.operators import index
+
+    reference = derive.reference(spark, sf_dir)
+    settings = config.Settings(reads="100R", anchor_length=13, out_mode=mode, lanes=(1, 2), tiles=(1101, 1102, 1103), **more).resolved()
+    return reference, index.broadcast(spark, index.build(reference)), settings
+
+
+def _calls(spark, sf_dir):
+    from lanewise.operators import mapping
+
+    reads = derive.reads(spark, sf_dir)
+    calls = mapping.packed_calls(derive.call_array(F.col("seq"), F.col("w")))
+    return reads.where("pass").select("lane", "tile", "read_no", F.lit(1).alias("mate"), calls.alias("calls"), "barcode")
+
+
+_RECORD = ("lane", "tile", "read_no", "mate", "cycle", "sample", "rank", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "seq", "qual")
+
+
+@query()
+def gapped_align(spark, sf_dir):
+    """Every place of every read, with mismatches and gaps."""
+    from lanewise.operators import mapping
+
+    reference, shared, settings = _mapper(spark, sf_dir)
+    states = mapping.read_states(_calls(spark, sf_dir), shared, settings)
+    return mapping.sam(states, reference, shared, settings).select(*_RECORD, F.col("tags")["AS"].alias("score"), F.col("tags")["NM"].alias("nm"), F.col("tags")["MD"].alias("md"))
+
+
+@query()
+def window_dedupe(spark, sf_dir):
+    """Places that remain when those near a better one of the same strand are passed over."""
+    from lanewise.operators import mapping
+
+    reference, shared, settings = _mapper(spark, sf_dir)
+    found = mapping.alignments(mapping.read_states(_calls(spark, sf_dir), shared, settings), shared, settings)
+    return mapping.records(found, reference, settings).select("read_no", "mate", "gid", "start", "score", "nth", "mapq")
+
+
+@query()
+def mate_flags(spark, sf_dir):
+    """Windows 2i and 2i + 1 of a document as the mates of a read, with flags that tell of the other mate."""
+    from lanewise.operators import index, mapping
+
+    reference = derive.reference(spark, sf_dir)
+    settings = config.Settings(reads="100R,100R", anchor_length=13, report_unmapped=True).resolved()
+    shared = index.broadcast(spark, index.build(reference))
+    one = _calls(spark, sf_dir).withColumn("w", F.col("read_no") % 10000)
+    pairs = one.select("lane", F.lit(1101).alias("tile"), (F.col("read_no") - F.col("w") % 2).alias("read_no"), (F.col("w") % 2 + 1).cast("int").alias("mate"), "calls")
+    return mapping.sam(mapping.read_states(pairs, shared, settings), reference, shared, settings).select("read_no", "mate", "flag", "rname", "pos", "rnext", "pnext", "cigar")
+
+
+def _live(cycle):
+    def run(spark, sf_dir):
+        import tempfile
+        import uuid
+
+        from lanewise.streaming import live
+
+        shared_dir = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lanewise-')}"
+        top = f"{shared_dir}/live-{uuid.uuid4().hex}"
+        reference, shared, settings = _mapper(spark, sf_dir, "ANYBEST", out_cycles=(50, 100))
+        # what a sequencer would write: for each tile and cycle the calls of all its reads, in one order
+        each = _calls(spark, sf_dir).select("lane", "tile", "read_no", "calls", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("cycle"))
+        one = F.struct("read_no", F.hex(F.expr("substring(calls, cycle, 1)")).alias("b"))
+        rows = each.groupBy("lane", "tile", "cycle").agg(F.array_sort(F.collect_list(one)).alias("x"))
+        files = rows.select("lane", "tile", "cycle", F.size("x").cast("long").alias("n"), F.unhex(F.array_join(F.transform("x", lambda x: x["b"]), "")).alias("calls"))
+        files.write.parquet(f"{top}/cycles")
+        stream = spark.readStream.schema(files.schema).parquet(f"{top}/cycles")
+        live.started(live.states_of(stream, shared, settings), f"{top}/states", f"{top}/checkpoint").awaitTermination()
+        return live.report(spark, f"{top}/states", cycle, reference, shared, settings).select(*_RECORD)
+
+    return run
+
+
+QUERIES["live_map_final"] = _live(100)
+QUERIES["live_map_cycle50"] = _live(50)
+
+
+@query()
+def sam_sink_roundtrip(spark, sf_dir):
+    """Records written as SAM text by sample, read back."""
+    import tempfile
+    import uuid
+
+    from lanewise.operators import mapping
+    from lanewise.sources import sam
+
+    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanewise-")
+    top = f"{named.removeprefix('file://')}/sam-{uuid.uuid4().hex}"
+    reference, shared, settings = _mapper(spark, sf_dir)
+    calls = _calls(spark, sf_dir)
+    routed = demux.routed(calls.select("lane", "tile", "read_no", "barcode"), SAMPLES, ERRORS, True).select("lane", "tile", "read_no", codecs.formatted_barcode(F.col("barcode"), [4, 4]).alias("barcode"), "sample")
+    files = sam.write(mapping.sam(mapping.read_states(calls, shared, settings), reference, shared, settings, routed), reference, top)
+    back = sam.read_sam(spark, f"file://{top}") if files else spark.createDataFrame([], "qname string, flag int, rname string, pos long, mapq int, cigar string, tags map<string,string>")
+    return back.select("qname", "flag", "rname", "pos", "mapq", "cigar", F.map_entries("tags").alias("tags"))
