@@ -91,7 +91,7 @@ def aligned(template: list[int], words: list[int], band: int, shift: int) -> tup
     """Most words of the template that match in order, and where the first and the last of them stand in ``words``.
 
     Word j of the template may stand at j + shift - band to j + shift + band. Of alignments with as many
-    matches the shortest counts.
+    matches the shortest counts, and of these the first.
     """
     width, none = 2 * band + 1, (0, 0, 0)  # (matches, -extent so far, start)
     above = [none] * (width + 1)
@@ -106,11 +106,11 @@ def aligned(template: list[int], words: list[int], band: int, shift: int) -> tup
                 taken = (matches + 1, 0, start if matches else i)
                 if (taken[0], taken[2]) > (here[0], here[2]):
                     here = taken
-                    key = (taken[0], -(i - taken[2]), taken[2], i)
+                    key = (taken[0], -(i - taken[2]), -taken[2], i)
                     best = max(best, key)
             row[k] = left = here
         above = row
-    return best[0], best[2], best[3] + 1
+    return best[0], -best[2], best[3] + 1
 
 
 class Index:
@@ -140,7 +140,7 @@ class Index:
                 if i < done[t]:
                     continue
                 template = self.words[t]
-                first = max(0, i - j - band)
+                first = max(0, i - j - band, done[t])
                 near = words[first : i - j + len(template) + band]
                 n, start, end = aligned(template, near, band, i - j - first)
                 if n >= coverage * len(template) and first + end > done[t]:

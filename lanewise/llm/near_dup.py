@@ -10,9 +10,10 @@ class; classes are the nodes of the link graph, so copies never meet in pairs.
    five standard errors of the threshold (or above) are confirmed.
 3. Pairs are confirmed on the full sets, made again from the texts. Two rounds link each class to one leader
    (the candidate in its buckets with the best estimate), which unites nearly all groups with one link per
-   class. A last round takes the classes whose buckets still hold several components: over these, shingles
-   are ordered by how many of the classes have them, and two similar sets must share one among the first of
-   each (prefix filter: exact, and it passes over what all copies of a text have in common).
+   class. A last round takes the buckets that still hold several components: all pairs where a bucket has
+   ``SMALL`` classes at most; over the classes of larger ones, shingles are ordered by how many of these have
+   them, and two similar sets must share one among the first of each (prefix filter: exact, and it passes
+   over what all copies of a text have in common).
 
 Components come from hooking each root to its least neighbour and pointer jumping; links, components and
 signatures stay in tables. A pair at the threshold shares no band with a probability of 1.3e-6.
@@ -39,6 +40,8 @@ PERMUTATIONS, BITS = 256, 4
 NUMERATOR, DENOMINATOR = 3, 4
 #: Members of a leader's group that are confirmed by one task.
 GROUP = 512
+#: Classes in a bucket whose pairs are taken as they are.
+SMALL = 8
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -221,9 +224,11 @@ def _sharing_prefixes(nodes: DataFrame, texts: DataFrame, words: int) -> DataFra
 
     shingles = cut(nodes.join(texts, "node").select("node", "root", "text").mapInArrow(work, "node long, root long, size long, shingle long"), "shingles")
     common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "shingle"))
+    # shingles that one class has alone come first; they are counted, not carried
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("node"))
+    place = alone + F.row_number().over(Window.partitionBy("node").orderBy("n", "shingle"))
     least = F.ceil(F.lit(NUMERATOR) * F.col("size") / F.lit(DENOMINATOR))  # a partner has so many shingles at least
-    first = shingles.join(common, "shingle", "left").withColumn("place", place).where((F.col("place") <= F.col("size") - least + 1) & F.col("n").isNotNull())
+    first = shingles.join(common, "shingle").withColumn("place", place).where(F.col("place") <= F.col("size") - least + 1)
     first = cut(first.select("node", "root", "size", "shingle", "place"), "prefixes")
     a, b = (first.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "place")]) for x in "uv")
     needed = _overlap(F.col("size_u"), F.col("size_v"))
@@ -273,15 +278,19 @@ def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     for turn in range(3):
         buckets = cut(_rooted(buckets.select("key", "node", F.col("node").alias("root")), labels, "root"), "buckets")
         # only buckets that hold more than one component matter
-        mixed = buckets.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("drawn"), F.min("node").alias("least"))
-        mixed = mixed.where("low < high").select("key", (F.col("drawn") if turn else F.col("least")).alias("leader"))
+        mixed = buckets.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("drawn"), F.min("node").alias("least"), F.count("*").alias("n"))
+        mixed = mixed.where("low < high").select("key", (F.col("drawn") if turn else F.col("least")).alias("leader"), "n")
         buckets = buckets.join(mixed, "key")
         if turn < 2:
             pairs = buckets.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
             best = F.max_by("u", F.struct("estimate", -F.col("u"))).alias("u")
             pairs = likely(pairs).groupBy("v").agg(best)
         else:
-            pairs = likely(_sharing_prefixes(buckets.select("node", "root").distinct(), node_texts, words))
+            few = buckets.where(F.col("n") <= SMALL)
+            a, b = (few.select("key", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
+            pairs = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v"))).select("u", "v").distinct()
+            many = buckets.where(F.col("n") > SMALL).select("node", "root").distinct()
+            pairs = likely(pairs.unionByName(_sharing_prefixes(many, node_texts, words)).distinct())
             pairs = pairs.join(tried, (F.least("u", "v") == F.col("x")) & (F.greatest("u", "v") == F.col("y")), "left_anti")
         pairs = cut(pairs.select("u", "v"), "pairs")
         if not pairs.isEmpty():
