@@ -77,7 +77,7 @@ def output(spark: SparkSession, settings: config.Settings, reference, shared) ->
     files = []
     for cycle in settings.out_cycles:
         try:
-            records = live.report(spark, f"{settings.temp_dir}/states", cycle, reference, shared, settings)
+            records = live.report(spark, f"{settings.temp_dir}/states", cycle, reference, shared, settings, bcl.filters(spark, settings.bcl_dir))
         except ValueError as e:
             print(e)
             continue

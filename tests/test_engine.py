@@ -265,6 +265,8 @@ def test_stream_is_batch_and_demultiplexes(spark, tmp_path, reference, run_rows)
     assert report(barcodes="ACAG-TCGA,ACGG-TGGA", barcode_errors="0") == {"ACAG-TCGA": 30, "ACGG-TGGA": 10}
     early = live.report(spark, out, 30, reference, shared, settings())
     assert early.count() == len(BARCODES) and {r["cigar"] for r in early.collect()} == {"30M"}
+    passed = spark.createDataFrame([(1, 1101, i, i > 3) for i in range(10)], "lane int, tile int, read_no long, pass boolean")
+    assert live.report(spark, out, 88, reference, shared, settings(), passed).count() == 2 * (len(BARCODES) - 4)
     with pytest.raises(ValueError, match="75"):
         live.report(spark, out, 75, reference, shared, s)
 
@@ -311,3 +313,9 @@ def test_fastq_and_replay(spark, tmp_path):
     bcl.replayed(str(tmp_path / "a"), str(tmp_path / "b"))
     rows = {(r["tile"], r["cycle"]): r["b"] for r in bcl.basecalls(spark, str(tmp_path / "b")).collect()}
     assert rows[1101, 2] == 40 << 2 | 1 and rows[1101, 5] == 0 and rows[1102, 1] == 2 << 2 | 3
+
+
+def test_machine_pace():
+    found = bcl.delays([100, 8, 8, 100], "HISEQ_2500_RAPID_DUALBC")
+    assert len(found) == 216 and sum(found) == 80881 and found[:2] == [1500, 1] and found[30] == 380
+    assert sum(bcl.delays([100, 8, 8, 100], "HISEQ_2500_RAPID_DUALBC", 100)) == pytest.approx(808.81)
