@@ -291,15 +291,14 @@ def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
             pairs = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v"))).select("u", "v").distinct()
             many = buckets.where(F.col("n") > SMALL).select("node", "root").distinct()
             pairs = likely(pairs.unionByName(_sharing_prefixes(many, node_texts, words)).distinct())
-            pairs = pairs.join(tried, (F.least("u", "v") == F.col("x")) & (F.greatest("u", "v") == F.col("y")), "left_anti")
+            if tried is not None:
+                pairs = pairs.join(tried, (F.least("u", "v") == F.col("x")) & (F.greatest("u", "v") == F.col("y")), "left_anti")
         pairs = cut(pairs.select("u", "v"), "pairs")
         if not pairs.isEmpty():
             links = confirmed(pairs, node_texts, words)
             labels = united(_rooted(links, labels, "u", "v"), labels)
             done = pairs.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
             tried = done if tried is None else tried.unionByName(done)
-        elif tried is None:
-            break
     rooted = cut(_rooted(classes.withColumn("root", F.col("node")), labels, "root"), "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = rooted.join(least, "root").select("key_a", "key_b", "component_id", F.col("root").alias("_group"))
