@@ -186,6 +186,15 @@ def test_near_duplicates(spark, tmp_path, texts, rng):
     assert near_dup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_a_link_beside_the_leader_is_found(spark, tmp_path):
+    """The least document of the buckets is like neither of two others that are alike."""
+    shared = [f"s{i}" for i in range(60)]
+    rows = [" ".join(shared + [f"{who}{i}" for i in range(n)]) for who, n in (("a", 55), ("b", 20))]
+    rows.append(rows[1] + " end")
+    df = saved(spark, tmp_path, docs_of(spark, rows))
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(df).collect()) == [(0, 0), (1, 1), (2, 1)]
+
+
 def test_repeated_rows_leave_one(spark, tmp_path):
     df = saved(spark, tmp_path, docs_of(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "z"), (2, "")]))
     assert sorted((r["doc_id"] or 0, r["text"]) for r in near_dup.first_of_each(df).collect()) == [(0, "z"), (1, "a b c d e f"), (2, "")]
