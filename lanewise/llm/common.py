@@ -52,8 +52,12 @@ def _remove() -> None:
     _written.clear()
 
 
+#: Columns that the library adds to whole tables begin so; tables have none of their own that do.
+OWN = "_lw_"
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Adds a number of its own to every row; cut the result before it is used twice."""
+    """Adds a number of its own to every row: its place in a table as it is read; cut the result of anything else before it is used twice."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

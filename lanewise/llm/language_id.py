@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.llm.common import text_or_empty
+from lanewise.llm.common import OWN, text_or_empty
 
 SIZES = (3, 4)
 SLOTS, HASHES = 1 << 20, 3
@@ -183,5 +183,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def in_known_languages(docs: DataFrame, least: float = 0.25) -> DataFrame:
     """``docs`` without texts in no language (``und``) or with a score under ``least`` in the best one; learns from all labelled rows."""
     filters = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text", "lang")))
-    told = predicted(docs, filters, names=("_lang", "_score"))
-    return told.where((F.col("_lang") != "und") & (F.col("_score") >= least)).select(*docs.columns)
+    lang, score = f"{OWN}lang", f"{OWN}score"
+    told = predicted(docs, filters, names=(lang, score))
+    return told.where((F.col(lang) != "und") & (F.col(score) >= least)).select(*docs.columns)

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import cut, numbered
+from lanewise.llm.common import OWN, cut, numbered
 
 LEVELS, ROUNDS = 6, 5
 
@@ -80,8 +80,8 @@ def _key(docs: DataFrame) -> Column:
     return F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit(""))
 
 
-def _place(mix: Mix, passes: Column) -> Column:
-    return F.xxhash64("_row", passes, F.lit(mix.seed))
+def _place(mix: Mix, passes: Column, row: str = "_row") -> Column:
+    return F.xxhash64(row, passes, F.lit(mix.seed))
 
 
 def _bucket(place: Column, mix: Mix) -> Column:
@@ -139,12 +139,13 @@ def mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
 def repeated(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """``docs`` with each row as often as the mixture takes it. The texts aren't shuffled: a row is in its source's last pass if its hash is up to the last one taken. ``docs`` is a table as it is read."""
     mix = mix or Mix()
-    rows = numbered(docs)
-    sizes = sizes_of(rows.select("_row", "doc_id", "source", "text"))
+    row, source, whole, last_place, n_times, nth = (f"{OWN}{x}" for x in ("row", "source", "passes", "last", "n", "nth"))
+    rows = numbered(docs, row)
+    sizes = sizes_of(rows.select(F.col(row).alias("_row"), "doc_id", "source", "text"))
     plan = weighted(sizes, mix)
     partial = sizes.join(plan.where("rest > 0"), "_source").select("_row", "_source", "n_tokens", "rest", F.col("passes").alias("pass"))
     last = _running(partial.withColumn("place", _place(mix, F.col("pass"))), mix).where("_before < rest").groupBy("_source").agg(F.max("place").alias("_last"))
-    plan = cut(plan.join(last, "_source", "left").select("_source", "passes", "_last"), "passes")
-    taken = rows.withColumn("_source", _key(rows)).join(plan, "_source")
-    n = F.col("passes") + F.when(_place(mix, F.col("passes")) <= F.col("_last"), 1).otherwise(0)
-    return taken.withColumn("_n", n).where("_n > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    plan = cut(plan.join(last, "_source", "left").select(F.col("_source").alias(source), F.col("passes").alias(whole), F.col("_last").alias(last_place)), "passes")
+    taken = rows.withColumn(source, _key(rows)).join(plan, source)
+    times = F.col(whole) + F.when(_place(mix, F.col(whole), row) <= F.col(last_place), 1).otherwise(0)
+    return taken.withColumn(n_times, times).where(F.col(n_times) > 0).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(n_times)))).select(*docs.columns)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import cut, numbered, text_or_empty
+from lanewise.llm.common import OWN, cut, numbered, text_or_empty
 
 WORDS = 5
 ROWS, BANDS = 5, 50
@@ -246,7 +246,7 @@ def _rooted(df: DataFrame, labels: DataFrame | None, *columns: str) -> DataFrame
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
-    return components(docs, words).drop("_row", "_group")
+    return components(docs.select("doc_id", "text"), words).drop("_row", "_group")
 
 
 def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -310,7 +310,8 @@ def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def first_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` with one row of each component: that of its least doc_id. ``docs`` is a table as it is read."""
-    rows = numbered(docs)
-    groups = components(rows.select("_row", "doc_id", "text"), words)
+    row = f"{OWN}row"
+    rows = numbered(docs, row)
+    groups = components(rows.select(F.col(row).alias("_row"), "doc_id", "text"), words)
     first = groups.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("_row").alias("_kept"))).alias("first")).select("first._kept")
-    return rows.join(first, rows["_row"] == first["_kept"], "left_semi").select(*docs.columns)
+    return rows.join(first, rows[row] == first["_kept"], "left_semi").select(*docs.columns)

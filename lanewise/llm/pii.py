@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import cut, numbered, text_or_empty
+from lanewise.llm.common import OWN, cut, numbered, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
 BASE = KINDS[:4]
@@ -231,11 +231,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets; overlapping spans go together. Null stays null. ``docs`` is a table as it is read."""
-    rows = numbered(docs)
-    spans = personal_data(rows.select("_row", "doc_id", "text")).where(F.size("spans") > 0).select(F.col("_row").alias("_at"), "spans")
-    out = F.expr("""aggregate(spans, named_struct('at', 0, 'text', ''),
+    row, at, own, new = (f"{OWN}{x}" for x in ("row", "at", "spans", "text"))
+    rows = numbered(docs, row)
+    spans = personal_data(rows.select(F.col(row).alias("_row"), "doc_id", "text")).where(F.size("spans") > 0).select(F.col("_row").alias(at), F.col("spans").alias(own))
+    out = F.expr(f"""aggregate({own}, named_struct('at', 0, 'text', ''),
         (s, x) -> CASE WHEN x.start >= s.at THEN named_struct('at', x.end, 'text', concat(s.text, substring(text, s.at + 1, x.start - s.at), '[', upper(x.kind), ']'))
                        ELSE named_struct('at', greatest(s.at, x.end), 'text', s.text) END,
         s -> concat(s.text, substring(text, s.at + 1, length(text) - s.at)))""")
     names = docs.columns
-    return rows.join(spans, rows["_row"] == spans["_at"], "left").withColumn("_text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(out)).select(*[F.col("_text").alias(c) if c == "text" else c for c in names])
+    joined = rows.join(spans, rows[row] == spans[at], "left").withColumn(new, F.when(F.col(own).isNull(), F.col("text")).otherwise(out))
+    return joined.select(*[F.col(new).alias(c) if c == "text" else c for c in names])
