@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lanewise.llm import bpe, common, language_id, licenses, media, mixing, near_dup, packing, pii, token_counts, topk, url_filter, webp
 
 WORDS = "the of and to in that is was he for it with as his on be at by this had not are but from or have".split()
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row_ string, score double, length string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, spans double, passes string"
 
 
 def docs_of(spark, texts, schema=SCHEMA):
