@@ -2,8 +2,8 @@
 
 A source's weight is its share of all tokens to the power of an exponent, normalised. The exponent is
 bisected in [0, 1] until the weights' entropy meets ``entropy`` (nats), or until no source is repeated more
-than ``repetitions`` times; each job evaluates the next six levels of the bisection at once, and only sums
-over sources reach the driver. The budget is ``budget`` tokens or, without one, the least at which every
+than ``repetitions`` times; each job evaluates the next six levels of the bisection at once, and only their
+sums over sources reach the driver. The budget is ``budget`` tokens or, without one, the least at which every
 source's part covers all its documents.
 
 Weights are realised per source as passes: each pass is a permutation of the source's documents by hash.
@@ -49,16 +49,15 @@ def _exponent(sources: DataFrame, mix: Mix) -> float:
     for _ in range(ROUNDS):
         n = 1 << LEVELS
         at = [low + (high - low) * k / n for k in range(1, n)]
-        columns = []
-        for k, x in enumerate(at):
-            power = F.pow("share", F.lit(x))
-            columns += [F.sum(power).alias(f"s{k}"), F.sum(power * F.log("share")).alias(f"l{k}"), F.max(F.pow("share", F.lit(x - 1))).alias(f"h{k}"), F.min(F.pow("share", F.lit(x - 1))).alias(f"m{k}")]
-        r = sources.agg(F.sum("tokens").alias("tokens"), *columns).first()
+        power, per = F.pow("share", "x"), F.pow("share", F.col("x") - 1)
+        each = sources.select("share", "tokens", F.posexplode(F.array(*map(F.lit, at))).alias("k", "x")).groupBy("k")
+        sums = {r["k"]: r for r in each.agg(F.sum("tokens").alias("tokens"), F.sum(power).alias("s"), F.sum(power * F.log("share")).alias("l"), F.max(per).alias("h"), F.min(per).alias("m")).collect()}
         left, right = 0, n
         while right - left > 1:  # bisection over the points of this job
             mid = (left + right) // 2
             k = mid - 1
-            s, l, most, least = (r[f"{c}{k}"] for c in "slhm")
+            r = sums[k]
+            s, l, most, least = (r[c] for c in "slhm")
             if mix.entropy is not None:
                 right_side = -at[k] * l / s + _ln(s) >= mix.entropy  # the entropy falls as the exponent grows
             else:
