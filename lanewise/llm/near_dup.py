@@ -42,6 +42,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 GROUP = 512
 #: Classes in a bucket whose pairs are taken as they are.
 SMALL = 8
+#: Rows with which texts are picked by broadcast; with more, texts are shuffled to them.
+PICK_ROWS = 1 << 20
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -151,6 +153,11 @@ def least_estimate(threshold: float) -> float:
     return threshold - 5 * (p * (1 - p) / PERMUTATIONS) ** 0.5 / (1 - chance)
 
 
+def _picking(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers each, to join with texts: broadcast behind a count, so that texts stay where they are."""
+    return F.broadcast(rows) if rows.limit(PICK_ROWS + 1).count() <= PICK_ROWS else rows
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough. texts: node, text.
 
@@ -175,8 +182,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    heads = parts.join(texts, parts["u"] == texts["node"]).select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), "text")
-    members = pairs.join(parts, "u").join(texts, F.col("v") == texts["node"]).select("u", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "v", "text")
+    parts = cut(parts, "parts")
+    heads = texts.join(_picking(parts), F.col("u") == texts["node"]).select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), "text")
+    members = texts.join(_picking(cut(pairs.join(parts, "u"), "asked")), F.col("v") == texts["node"]).select("u", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "v", "text")
     dealt = heads.unionByName(members).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
     return dealt.select("u", "part", "v", "text").mapInArrow(work, "u long, v long")
 
@@ -222,7 +230,7 @@ def _sharing_prefixes(nodes: DataFrame, texts: DataFrame, words: int) -> DataFra
             columns = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("node", "root")] + [np.repeat(sizes, sizes), np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "root", "size", "shingle"])
 
-    shingles = cut(nodes.join(texts, "node").select("node", "root", "text").mapInArrow(work, "node long, root long, size long, shingle long"), "shingles")
+    shingles = cut(texts.join(_picking(cut(nodes, "many")), "node").select("node", "root", "text").mapInArrow(work, "node long, root long, size long, shingle long"), "shingles")
     common = shingles.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     # shingles that one class has alone come first; they are counted, not carried
     alone = F.col("size") - F.count("*").over(Window.partitionBy("node"))
