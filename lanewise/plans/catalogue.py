@@ -55,6 +55,7 @@ def encode_byte(spark, sf_dir):
 CASE upper(c) WHEN 'A' THEN 'T' WHEN 'C' THEN 'G' WHEN 'G' THEN 'C' WHEN 'T' THEN 'A' ELSE 'N' END AS complement, count(*) AS n
 FROM (SELECT unnest(string_split(substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 200), '')) AS c FROM documents) WHERE c <> '' GROUP BY ALL""")
 def two_bit_code(spark, sf_dir):
+    """Codes and counts of the first 200 letters of each text, as its SQL has it; later letters aren't counted."""
     letters = F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 200)
     c = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split(letters, "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
     return c.select("c", codecs.code_of(F.col("c")).alias("code"), codecs.complement(F.col("c")).alias("complement"), "n")
