@@ -362,7 +362,7 @@ def _calls(spark, sf_dir):
 
     reads = derive.reads(spark, sf_dir)
     calls = mapping.packed_calls(derive.call_array(F.col("seq"), F.col("w")))
-    return reads.where("pass").select("lane", "tile", "read_no", F.lit(1).alias("mate"), calls.alias("calls"), "barcode")
+    return reads.select("lane", "tile", "read_no", F.lit(1).alias("mate"), calls.alias("calls"), "barcode")
 
 
 _RECORD = ("lane", "tile", "read_no", "mate", "cycle", "sample", "rank", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "seq", "qual")

@@ -68,5 +68,11 @@ def test_gapped_finds_all_that_ungapped_does(spark, tables):
     assert best.where(F.floor(F.col("read_no") / 10000) % 10 != 0).join(passed, "read_no", "left_anti").count() == 0
 
 
+@pytest.mark.parametrize("name", ["gapped_align", "window_dedupe", "mate_flags", "live_map_final", "live_map_cycle50"])
+def test_mapper_queries_take_reads_of_all_documents(spark, tables, name):
+    documents = {r["read_no"] // 10000 for r in catalogue.QUERIES[name](spark, tables).select("read_no").collect()}
+    assert {d for d in documents if d % 10 == 0}
+
+
 def test_entry_names():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and len(catalogue.SQL) >= 38
