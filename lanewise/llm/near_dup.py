@@ -7,7 +7,8 @@ class; classes are the nodes of the link graph, so copies never meet in pairs.
    which the low ``BITS`` bits are packed into longs, and a key per band of ``ROWS`` minima.
 2. Classes that share a band key are candidates. Packed signatures are compared by bit counts; the share of
    equal low bits, corrected for chance collisions, estimates the similarity, and only pairs that are within
-   five standard errors of the threshold (or above) are confirmed.
+   five standard errors of the threshold (or above) are confirmed. Pairs of sets under ``FEW`` shingles are
+   confirmed whatever the estimate: the permutations are linear, so on tiny sets errors are larger than that.
 3. Pairs are confirmed on the full sets, made again from the texts. Two rounds link each class to one leader
    (the candidate in its buckets with the best estimate), which unites nearly all groups with one link per
    class. A last round takes the buckets that still hold several components: all pairs where a bucket has
@@ -42,6 +43,8 @@ NUMERATOR, DENOMINATOR = 3, 4
 GROUP = 512
 #: Classes in a bucket whose pairs are taken as they are.
 SMALL = 8
+#: Shingles from which on a set's estimates are taken for near the similarity.
+FEW = 64
 #: Rows with which texts are picked by broadcast; with more, texts are shuffled to them.
 PICK_ROWS = 1 << 20
 
@@ -277,10 +280,10 @@ def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     enough = least_estimate(NUMERATOR / DENOMINATOR)
 
     def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and signatures allow for a link, with the estimate."""
+        """Pairs whose sizes, and signatures unless both sets are small, allow for a link, with the estimate."""
         u, v = (involved.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}")) for c in "uv")
         both = pairs.join(u, "u").join(v, "v").where(DENOMINATOR * F.least("n_u", "n_v") >= NUMERATOR * F.greatest("n_u", "n_v"))
-        return both.withColumn("estimate", estimate(F.col("s_u"), F.col("s_v"))).where(F.col("estimate") >= enough).select("u", "v", "estimate")
+        return both.withColumn("estimate", estimate(F.col("s_u"), F.col("s_v"))).where((F.greatest("n_u", "n_v") < FEW) | (F.col("estimate") >= enough)).select("u", "v", "estimate")
 
     labels, tried, buckets = None, None, members
     for turn in range(3):

@@ -210,6 +210,13 @@ def test_a_link_beside_the_leader_is_found(spark, tmp_path):
     assert sorted((r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(df).collect()) == [(0, 0), (1, 1), (2, 1)]
 
 
+def test_small_sets_are_not_pruned_by_estimate(spark, tmp_path):
+    """Texts of 7 and 8 words, similarity 3 of 4, whose estimates are too low."""
+    rows = [" ".join(map(str, range(at, at + n))) for at in (8521, 9612, 222415) for n in (7, 8)]
+    df = saved(spark, tmp_path, docs_of(spark, rows))
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(df).collect()) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 4)]
+
+
 def test_repeated_rows_leave_one(spark, tmp_path):
     df = saved(spark, tmp_path, docs_of(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "z"), (2, "")]))
     assert sorted((r["doc_id"] or 0, r["text"]) for r in near_dup.first_of_each(df).collect()) == [(0, "z"), (1, "a b c d e f"), (2, "")]
