@@ -11,7 +11,8 @@ sum is within that amount of the k-th is taken, and those boundary rows are reso
 Queries are dealt into blocks as well, and every pair of a row block and a query block is a task; the best k
 of each are merged per query. Nothing is sampled: all rows are indexed and results are exact.
 
-Null vectors and such that hold null or non-finite components take no part; a query meets rows of its own
+Null vectors and such that hold null or non-finite components take no part, nor do rows with a null vec_id,
+which the query's SQL leaves out as well (it compares ids); a query meets rows of its own
 length only. Equal scores go to the smaller vec_id. Repeated rows are rows of their own; a query doesn't
 meet its own row. An empty table gives an empty result.
 """
