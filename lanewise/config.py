@@ -212,6 +212,10 @@ class Settings:
         mates = [s for s in self.segments if not s.is_barcode]
         if not mates:
             raise SettingError("no read in the read structure")
+        if self.md_style != "compact":
+            raise SettingError(f"md_style {self.md_style} isn't there, only compact")
+        if self.keep_invalid_sequences:
+            raise SettingError("keep_invalid_sequences isn't there: sequences of invalid reads aren't kept")
         mode = parse_align_mode(self.align_mode)
         k = self.anchor_length or default_anchor(self.genome_size, mode)
         s, first = self.scores, mates[0].length

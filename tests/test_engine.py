@@ -31,6 +31,12 @@ def test_parsers():
             bad()
 
 
+def test_what_is_missing_is_refused():
+    for more in ({"md_style": "sam"}, {"keep_invalid_sequences": True}):
+        with pytest.raises(config.SettingError):
+            Settings(reads="50R", **more).resolved()
+
+
 def test_ini_and_priorities():
     s = Settings(reads="50R", out_cycles=(20, 99)).resolved()
     assert s.out_cycles == (20, 50)
