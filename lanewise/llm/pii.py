@@ -12,11 +12,13 @@ addresses, national phone numbers, id numbers and secrets. Five labelers vote 1,
 
 Votes are counted per kind and vote pattern (3^5 at most). Expectation-maximisation over those counts, a
 fold in SQL, estimates how reliable each labeler is for each kind. The resulting probabilities are the soft
-labels with which the final span classifier, naive Bayes over span features that include neither the votes
-nor the text, is trained; candidates that it and the labelers together give at least ``accept`` are added,
-whatever single labelers say. One thing isn't estimated: addresses with a part over 255, card numbers without
-14 to 19 digits or a right check digit, phone numbers without 10 to 15 digits and id numbers of areas, groups
-and serials that are never issued are labelled as no personal data (``EXACT``), so mistyped ones are lost.
+labels on which the final span classifier is trained: naive Bayes over traits of the span (length, digits,
+borders) and the votes. Its probability alone decides: candidates that it gives at least ``accept`` are added.
+One thing isn't estimated: addresses with a part over 255, card numbers without 14 to 19 digits or a right
+check digit, phone numbers without 10 to 15 digits and id numbers of areas, groups and serials that are never
+issued are labelled as no personal data (``EXACT``), so mistyped ones are lost. What stands before a span counts
+back to the last match of the same pattern, 40 characters at most: in a list of numbers only the first one is
+announced by the word before the list.
 
 Positions count code points, ends are exclusive. Null text: empty, no spans. Repeated rows: one result each.
 """
@@ -75,13 +77,20 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Matches that one fold takes; more are dealt into runs of so many, since a fold copies what it has.
+RUN = 256
+
+
 def _matches(kind: str, pattern: str, guard: str) -> str:
     """SQL: all matches with their places, in one array; the places are the sums of what stands between the matches and the matches."""
     p = _sql(pattern)
     item = f"named_struct('start', s.at + length(x.p[i]), 'end', s.at + length(x.p[i]) + length(x.h[i]), 'kind', '{kind}', 'found', x.h[i], 'before', right(x.p[i], 40), 'after', left(x.p[i + 1], 1))"
     kind_of = "array<struct<start:int,end:int,kind:string,found:string,before:string,after:string>>"
-    fold = f"""aggregate(sequence(0, size(x.h) - 1), named_struct('at', 0, 'out', cast(array() AS {kind_of})),
-        (s, i) -> named_struct('at', s.at + length(x.p[i]) + length(x.h[i]), 'out', concat(s.out, array({item}))), s -> s.out)"""
+    run = lambda b: f"sequence({b} * {RUN}, least(size(x.h), ({b} + 1) * {RUN}) - 1)"
+    length = f"aggregate({run('b')}, 0, (n, i) -> n + length(x.p[i]) + length(x.h[i]))"
+    begins = f"aggregate(sequence(0, CAST(ceil(size(x.h) / {RUN}) AS INT) - 1), named_struct('at', 0, 'out', cast(array() AS array<int>)), (s, b) -> named_struct('at', s.at + {length}, 'out', concat(s.out, array(s.at))), s -> s.out)"
+    fold = f"""flatten(transform({begins}, (begin, b) -> aggregate({run('b')}, named_struct('at', begin, 'out', cast(array() AS {kind_of})),
+        (s, i) -> named_struct('at', s.at + length(x.p[i]) + length(x.h[i]), 'out', concat(s.out, array({item}))), s -> s.out)))"""
     both = f"array(named_struct('h', regexp_extract_all(text, {p}, 0), 'p', split(text, {p}, -1)))"
     return f"CASE WHEN {guard} THEN transform({both}, x -> CASE WHEN size(x.h) > 0 THEN {fold} ELSE cast(array() AS {kind_of}) END)[0] ELSE cast(array() AS {kind_of}) END"
 
@@ -186,45 +195,59 @@ def _estimated(patterns: DataFrame) -> DataFrame:
 
 
 def _log_odds() -> Column:
-    """Of a candidate's votes under its kind's model."""
+    """Of a candidate's votes under its kind's model: the label that the classifier learns."""
     votes = F.expr(f"aggregate(sequence(0, {len(LABELERS) - 1}), 0D, (a, l) -> a + ln(model.yes[l][v[l] + 1] / model.no[l][v[l] + 1]))")
     return F.when(F.expr(_known_not("v")), F.lit(-100.0)).otherwise(F.ln(F.col("model.prior") / (1 - F.col("model.prior"))) + votes)
 
 
 def _features(c: DataFrame) -> DataFrame:
-    """Adds f: a few named traits of each span, from its length, characters and borders."""
+    """Adds f: named traits of each span, from its length, characters and borders, and its votes."""
     n = F.length("found")
     share = F.round(4 * F.length(F.regexp_replace("found", "[^0-9]", "")) / n).cast("int")
     edge = lambda x: F.when(x.rlike("[A-Za-z0-9]"), "word").when(x.rlike(r"\s"), "space").when(F.coalesce(x, F.lit("")) == "", "end").otherwise("mark")
     traits = {"length": F.least(F.floor(n / 4), F.lit(16)).cast("int"), "digits": share, "left": edge(F.right("before", F.lit(1))), "right": edge(F.col("after")), "first": edge(F.left("found", F.lit(1))), "breaks": F.least(F.length(F.regexp_replace("found", r"[^\s.()@:=\"-]", "")), F.lit(8))}
+    traits |= {name: F.get("v", F.lit(i)) for i, name in enumerate(LABELERS)}
     return c.withColumn("f", F.array(*[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in traits.items()]))
 
 
 def added(cases: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """Candidates (_row, start, end, kind, fixed, found, before, after) that aren't fixed and that labelers and classifier take for personal data."""
+    """Candidates (_row, start, end, kind, fixed, found, before, after) that aren't fixed and that the trained classifier takes for personal data."""
     voted = cut(_features(_votes(cases)), "votes")
     model = cut(_estimated(voted.groupBy("kind", "v").agg(F.count("*").alias("n"))), "model")  # a row per kind
-    soft = voted.join(F.broadcast(model), "kind").withColumn("odds", _log_odds()).withColumn("p", 1 / (1 + F.exp(-F.col("odds"))))
-    weights = soft.select("kind", "p", F.explode("f").alias("f")).groupBy("kind", "f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
-    sums = F.sum("yes").over(Window.partitionBy("kind")), F.sum("no").over(Window.partitionBy("kind"))
-    weights = weights.withColumn("w", F.ln((1 + F.col("yes")) / (20 + sums[0]) * (20 + sums[1]) / (1 + F.col("no"))))
-    by_kind = weights.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("f", "w"))).alias("weights"))  # some 60 entries per kind
-    scored = soft.join(F.broadcast(cut(by_kind, "weights")), "kind")
-    trained = F.aggregate("f", F.lit(0.0), lambda a, x: a + F.coalesce(F.try_element_at("weights", x), F.lit(0.0)))
-    # the classifier moves the labelers' odds by a bounded amount: its traits overlap
-    probability = 1 / (1 + F.exp(-(F.col("odds") + F.greatest(F.lit(-3.0), F.least(F.lit(3.0), trained)))))
-    return scored.where(~F.col("fixed")).withColumn("probability", probability).where(F.col("probability") >= accept).select("_row", "start", "end", "kind", "probability")
+    soft = voted.join(F.broadcast(model), "kind").withColumn("p", 1 / (1 + F.exp(-_log_odds())))
+    by_kind = cut(_trained(soft), "weights")  # a row per kind, some 80 weights in it
+    evidence = F.aggregate("f", F.lit(0.0), lambda a, x: a + F.coalesce(F.try_element_at("weights", x), F.lit(0.0)))
+    odds = F.when(F.expr(_known_not("v")), F.lit(-100.0)).otherwise(F.col("bias") + evidence)
+    scored = voted.where(~F.col("fixed")).join(F.broadcast(by_kind), "kind").withColumn("probability", 1 / (1 + F.exp(-odds)))
+    return scored.where(F.col("probability") >= accept).select("_row", "start", "end", "kind", "probability")
+
+
+def _trained(soft: DataFrame) -> DataFrame:
+    """kind, bias, weights (feature -> log of how much likelier it is on personal data): naive Bayes on soft labels p, counts raised by one."""
+    totals = soft.groupBy("kind").agg(F.sum("p").alias("all_yes"), F.sum(1 - F.col("p")).alias("all_no"))
+    sums = soft.select("kind", "p", F.explode("f").alias("f")).groupBy("kind", "f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
+    yes, no = (1 + F.col("yes")) / (2 + F.col("all_yes")), (1 + F.col("no")) / (2 + F.col("all_no"))
+    entry = F.struct("f", F.ln(yes / no).alias("w"))
+    return sums.join(F.broadcast(totals), "kind").groupBy("kind").agg(F.first(F.ln((1 + F.col("all_yes")) / (1 + F.col("all_no")))).alias("bias"), F.map_from_entries(F.collect_list(entry)).alias("weights"))
+
+
+def _free(spans: DataFrame) -> DataFrame:
+    """Adds free: whether no fixed span of the same text overlaps; two passes over a text's spans in their order."""
+    upto = lambda order: Window.partitionBy("_row").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = F.max(F.when(F.col("fixed"), F.col("end"))).over(upto(F.asc("start")))  # of those that start here or before
+    begins = F.min(F.when(F.col("fixed"), F.col("start"))).over(upto(F.desc("start")))  # of those that start here or later
+    return spans.withColumn("free", ~F.coalesce(ended > F.col("start"), F.lit(False)) & ~F.coalesce(begins < F.col("end"), F.lit(False)))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """_row, doc_id, base, spans: arrays of (start, rank, end, kind), by start and kind, of every row of ``docs`` (_row, doc_id, text)."""
     kept = cut(found(docs), "found")
     slim = kept.select("_row", "doc_id", F.expr("array_sort(transform(base, x -> named_struct('start', x.start, 'rank', x.rank, 'end', x.end, 'kind', x.kind)))").alias("base"))
-    names = "start", "end", "kind", "found", "before", "after"
-    firm = kept.select("_row", F.explode("base").alias("x")).select("_row", *[F.col(f"x.{n}") for n in names], F.lit(True).alias("fixed"))
-    loose = kept.select("_row", F.explode(F.expr("filter(others, x -> NOT exists(base, y -> y.start < x.end AND x.start < y.end))")).alias("x")).select("_row", *[F.col(f"x.{n}") for n in names], F.lit(False).alias("fixed"))
+    one = lambda column, fixed: f"transform({column}, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind, 'found', x.found, 'before', x.before, 'after', x.after, 'fixed', {fixed}))"
+    each = kept.select("_row", F.explode(F.expr(f"concat({one('base', 'true')}, {one('others', 'false')})")).alias("x")).select("_row", "x.*")
+    cases = _free(each).where("fixed OR free").drop("free")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    more = added(firm.unionByName(loose)).groupBy("_row").agg(F.collect_set(F.struct("start", rank.alias("rank"), "end", "kind")).alias("more"))  # of one text
+    more = added(cases).groupBy("_row").agg(F.collect_set(F.struct("start", rank.alias("rank"), "end", "kind")).alias("more"))  # of one text
     return slim.join(more, "_row", "left").select("_row", "doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
 
 
@@ -243,11 +266,18 @@ def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by its kind in brackets; overlapping spans go together. Null stays null. ``docs`` is a table as it is read."""
     row, at, own, new = (f"{OWN}{x}" for x in ("row", "at", "spans", "text"))
     rows = numbered(docs, row)
-    spans = personal_data(rows.select(F.col(row).alias("_row"), "doc_id", "text")).where(F.size("spans") > 0).select(F.col("_row").alias(at), F.col("spans").alias(own))
-    out = F.expr(f"""aggregate({own}, named_struct('at', 0, 'text', ''),
-        (s, x) -> CASE WHEN x.start >= s.at THEN named_struct('at', x.end, 'text', concat(s.text, substring(text, s.at + 1, x.start - s.at), '[', upper(x.kind), ']'))
-                       ELSE named_struct('at', greatest(s.at, x.end), 'text', s.text) END,
-        s -> concat(s.text, substring(text, s.at + 1, length(text) - s.at)))""")
+    spans = personal_data(rows.select(F.col(row).alias("_row"), "doc_id", "text")).where(F.size("spans") > 0)
+    # a span that begins before all earlier ones have ended belongs to what they cover
+    each = spans.select("_row", F.explode("spans").alias("x")).select("_row", "x.start", "x.end", "x.rank", "x.kind")
+    before = Window.partitionBy("_row").orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("past", F.coalesce(F.max("end").over(before), F.lit(0))).groupBy("_row")
+    holes = each.agg(F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("past"), F.struct("start", "past", "kind")))).alias("holes"), F.max("end").alias("last"))  # of one text
+    holes = holes.select(F.col("_row").alias(at), F.struct("holes", "last").alias(own))
+    # four bytes a character, so that a part is found without going through what stands before it; a mark in front keeps a part's own first character
+    wide = "encode(text, 'UTF-32')"
+    part = lambda start, n: f"decode(concat(X'0000FEFF', substring(w, 4 * {start} + 1, 4 * ({n}))), 'UTF-32')"
+    out = F.expr(f"""transform(array({wide}), w -> concat(array_join(transform({own}.holes, x -> concat({part('x.past', 'x.start - x.past')}, '[', upper(x.kind), ']')), ''),
+        {part(f'{own}.last', f'length(text) - {own}.last')}))[0]""")
     names = docs.columns
-    joined = rows.join(spans, rows[row] == spans[at], "left").withColumn(new, F.when(F.col(own).isNull(), F.col("text")).otherwise(out))
+    joined = rows.join(holes, rows[row] == holes[at], "left").withColumn(new, F.when(F.col(own).isNull(), F.col("text")).otherwise(out))
     return joined.select(*[F.col(new).alias(c) if c == "text" else c for c in names])
