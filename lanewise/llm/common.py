@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewise.session import shared_dir
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -18,26 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='lanewise-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Readers of the result never recompute what lies above it, lost executors cost nothing, and
     ids made by monotonically_increasing_id() are frozen. The files go when the process ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return cut_all([df], name)
+
+
+def cut_all(frames: Iterable[DataFrame], name: str) -> DataFrame:
+    """Write frames of one schema (at least one), one after another, as a table in the shared folder and read it back."""
+    path = None
+    for df in frames:
+        path = path or f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+        schema = df.schema
+    _written.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 @atexit.register
@@ -52,6 +52,30 @@ def _remove() -> None:
     _written.clear()
 
 
+#: Keys that meet their rows by broadcast are at most so many, and have at least so many rows each.
+HOT_KEYS, HOT_ROWS = 100_000, 1_000
+
+
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame | None:
+    """The keys that have more than one in ``HOT_KEYS`` of all rows (and over ``HOT_ROWS``), so at most ``HOT_KEYS`` of them; None without any."""
+    most = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = cut(rows.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*on), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def joined(rows: DataFrame, by_key: DataFrame, on: list[str], how: str = "inner", hot: DataFrame | None | bool = True) -> DataFrame:
+    """``rows`` joined with ``by_key``, which has one row per key, without all rows of a hot key in one task.
+
+    Hot keys (``hot_keys`` of rows, if not given) and their rows of ``by_key``, a bounded number, are broadcast; others are shuffled.
+    """
+    hot = hot_keys(rows, on) if hot is True else hot
+    if hot is None:
+        return rows.join(by_key, on, how)
+    few = F.broadcast(hot)
+    heavy = rows.join(few, on, "left_semi").join(F.broadcast(by_key.join(few, on, "left_semi")), on, how)
+    return heavy.unionByName(rows.join(few, on, "left_anti").join(by_key, on, how))
+
+
 #: Columns that the library adds to whole tables begin so; tables have none of their own that do.
 OWN = "_lw_"
 

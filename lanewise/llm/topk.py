@@ -1,19 +1,22 @@
 """Exact top-k by inner product over a bit-sliced index.
 
-Rows are dealt by hash into blocks of about ``BLOCK_ROWS``. A block keeps, for each attribute, its value
-less the block's least one, without the low bits, as ``SLICES`` bitmaps of one bit per row. For a query,
+Rows stay where they are read: a task forms blocks of at most ``BLOCK_ROWS`` rows and ``BLOCK_VALUES`` components.
+A block keeps, for each attribute, its value less the block's least one, without the low bits, as ``SLICES``
+bitmaps of one bit per row. For a query,
 the slices are added up with bitmap arithmetic: each set bit of a query component contributes the slices of
 its attribute (of the complement where the component is negative) at its weight, and carry-save adders turn
 all bitmaps of a weight into one, with carries into the next. The k-th largest sum is found from the most
 significant slice downward. Dropped low bits can raise a score by a known amount at most, so every row whose
 sum is within that amount of the k-th is taken, and those boundary rows are resolved with their whole values.
 
-Queries are dealt into blocks as well, and every pair of a row block and a query block is a task; the best k
-of each are merged per query. Nothing is sampled: all rows are indexed and results are exact.
+Queries come to the blocks, in rounds of about ``ROUND_VALUES`` components (32 MB) that are broadcast one after
+another; a round builds each block once, for all its queries. A task keeps the k best of all its blocks for each
+query, and only these are shuffled, to be merged per query. A round's result is written before the next one's
+queries are sent. Nothing is sampled: all rows are indexed and results are exact.
 
 Null vectors and such that hold null or non-finite components take no part, nor do rows with a null vec_id,
 which the query's SQL leaves out as well (it compares ids); a query meets rows of its own
-length only. Equal scores go to the smaller vec_id. Repeated rows are rows of their own; a query doesn't
+length only, and empty vectors meet each other with a score of 0. Equal scores go to the smaller vec_id. Repeated rows are rows of their own; a query doesn't
 meet its own row. An empty table gives an empty result.
 """
 
@@ -21,12 +24,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import cut, numbered
+from lanewise.llm.common import cut, cut_all, numbered
 
-BLOCK_ROWS, BLOCK_QUERIES = 1 << 14, 256
+BLOCK_ROWS, BLOCK_VALUES = 1 << 16, 1 << 22
+#: Components (and two ids each) of the queries of a round, 8 bytes each.
+ROUND_VALUES = 1 << 22
 SLICES = 6
 
 
@@ -119,49 +126,86 @@ class Block:
         return at[order], scores[order]
 
 
-def _gathered(df: DataFrame, group: list[str]) -> DataFrame:
-    """One row per group: its rows' numbers, ids and values, as bytes."""
+def _queries(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length of vector: row numbers, ids and values."""
+    table = rows.select("d", "_row", "vec_id", "x").toArrow().combine_chunks()
+    out = {}
+    for d in pc.unique(table.column("d")).to_pylist():
+        own = table.filter(pc.equal(table.column("d"), d))
+        out[d] = (own.column("_row").to_numpy(), own.column("vec_id").to_numpy(), _values(own.column("x").combine_chunks(), d))
+    return out
 
-    def pack(batch: pa.Table) -> pa.Table:
-        values = batch.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8")
-        cells = [pa.array([batch.column(c)[0].as_py()], pa.int32()) for c in group]
-        blobs = [batch.column(c).to_numpy().astype("<i8").tobytes() for c in ("_row", "vec_id")] + [values.tobytes()]
-        return pa.Table.from_arrays([*cells, *(pa.array([b], pa.binary()) for b in blobs)], names=[*group, "rows", "ids", "values"])
 
-    schema = ", ".join(f"{c} int" for c in group) + ", rows binary, ids binary, values binary"
-    return df.select(*group, "_row", "vec_id", "x").groupBy(*group).applyInArrow(pack, schema)
+def _values(x: pa.ListArray, d: int) -> np.ndarray:
+    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    return np.asarray(x.flatten().to_numpy(zero_copy_only=False), np.int64).reshape(len(x), d)
+
+
+class _Best:
+    """The k best rows so far of each of some queries of one length."""
+
+    def __init__(self, queries: tuple[np.ndarray, np.ndarray, np.ndarray], k: int):
+        self.rows, self.ids, self.values = queries
+        self.k, self.found = k, [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(self.rows)
+
+    def meet(self, own: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
+        block = Block(values)
+        place = {r: at for at, r in enumerate(own.tolist())}
+        for i, row in enumerate(self.rows.tolist()):
+            at, scores = block.best(self.values[i], ids, self.k, place.get(row))
+            before = self.found[i]
+            ids_, scores_ = np.concatenate([before[0], ids[at]]), np.concatenate([before[1], scores])
+            order = np.lexsort((ids_, -scores_))[: self.k]
+            self.found[i] = ids_[order], scores_[order]
+
+    def table(self) -> pa.RecordBatch:
+        n = [len(ids) for ids, _ in self.found]
+        flat = [np.concatenate([f[j] for f in self.found]) if self.found else np.zeros(0, np.int64) for j in (0, 1)]
+        columns = {"q_row": np.repeat(self.rows, n), "query_id": np.repeat(self.ids, n), "vec_id": flat[0], "score": flat[1]}
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns.values()], list(columns))
+
+
+def _searched(rows: DataFrame, asked: Broadcast, k: int) -> DataFrame:
+    """q_row, query_id, vec_id, score: for each query the k best of the rows that a task reads."""
+
+    def search(batches):
+        best = {d: _Best(q, k) for d, q in asked.value.items()}
+        held: dict[int, list[tuple]] = {}
+
+        def meet(d: int) -> None:
+            best[d].meet(*(np.concatenate(c) for c in zip(*held.pop(d), strict=True)))
+
+        for batch in batches:
+            sizes = batch.column("d").to_numpy()
+            for d in best.keys() & set(np.unique(sizes).tolist()):
+                own = batch.filter(pa.array(sizes == d))
+                step = max(1, BLOCK_VALUES // max(1, d))
+                for at in range(0, own.num_rows, step):
+                    part = own.slice(at, step)
+                    held.setdefault(d, []).append((part.column("_row").to_numpy(), part.column("vec_id").to_numpy(), _values(part.column("x"), d)))
+                    n = sum(len(h[0]) for h in held[d])
+                    if n >= BLOCK_ROWS or n * d >= BLOCK_VALUES:
+                        meet(d)
+        for d in list(held):
+            meet(d)
+        yield from (b.table() for b in best.values())
+
+    return rows.select("d", "_row", "vec_id", "x").mapInArrow(search, "q_row long, query_id long, vec_id long, score long")
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest inner products for each row that ``is_query`` (of vec_id) holds for."""
     rows = cut(whole_vectors(df, vector, scale).where("vec_id is not null").withColumn("d", F.size("x")), "vectors")
-    sizes = {r["d"]: (r["n"], r["q"]) for r in rows.groupBy("d").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).collect()}  # a row per length of vectors
-    count = F.create_map(*[F.lit(x) for d, (n, _) in sizes.items() for x in (d, -(-n // BLOCK_ROWS))]) if sizes else F.lit(None)
-    parts = F.create_map(*[F.lit(x) for d, (_, q) in sizes.items() for x in (d, max(1, -(-q // BLOCK_QUERIES)))]) if sizes else F.lit(None)
-    if not sizes:
+    asked = rows.where(is_query)
+    rounds = -(-int(asked.agg(F.sum(F.col("d") + 2)).first()[0] or 0) // ROUND_VALUES)
+    if not rounds:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("_row"), count[F.col("d")]).cast("int"))
-    index = cut(_gathered(dealt, ["d", "block"]), "index")
-    asked = _gathered(rows.where(is_query).withColumn("part", F.pmod(F.xxhash64("_row", F.lit(1)), parts[F.col("d")]).cast("int")), ["d", "part"])
-    asked = asked.select("d", "part", F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.explode(F.sequence(F.lit(0), count[F.col("d")].cast("int") - 1)).alias("block"))
-    tasks = asked.join(index, ["d", "block"]).repartition("d", "block", "part")
 
-    def search(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                d = batch.column("d")[i].as_py()
-                whole = lambda c: np.frombuffer(batch.column(c)[i].as_py(), "<i8")  # noqa: B023, E731
-                own, ids, block = whole("rows"), whole("ids"), Block(whole("values").reshape(len(whole("rows")), d))
-                place = {r: at for at, r in enumerate(own.tolist())}
-                found = {"q_row": [], "query_id": [], "vec_id": [], "score": []}
-                for row, query_id, query in zip(whole("q_rows").tolist(), whole("q_ids").tolist(), whole("q_values").reshape(-1, d), strict=True):
-                    at, scores = block.best(query, ids, k, place.get(row))
-                    found["q_row"] += [row] * len(at)
-                    found["query_id"] += [query_id] * len(at)
-                    found["vec_id"] += ids[at].tolist()
-                    found["score"] += scores.tolist()
-                yield pa.RecordBatch.from_pydict(found, pa.schema([(c, pa.int64()) for c in found]))
-
-    best = tasks.select("d", "rows", "ids", "values", "q_rows", "q_ids", "q_values").mapInArrow(search, "q_row long, query_id long, vec_id long, score long")
+    def found():
+        for i in range(rounds):
+            sent = df.sparkSession.sparkContext.broadcast(_queries(asked.where(F.pmod(F.xxhash64("_row"), F.lit(rounds)) == i)))
+            yield _searched(rows, sent, k)
+            sent.destroy()
+
     rank = F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return cut_all(found(), "best").withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
