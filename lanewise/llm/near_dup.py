@@ -17,7 +17,8 @@ class; classes are the nodes of the link graph, so copies never meet in pairs.
    over what all copies of a text have in common).
 
 Components come from hooking each root to its least neighbour and pointer jumping; links, components and
-signatures stay in tables. A pair at the threshold shares no band with a probability of 1.3e-6.
+signatures stay in tables. Keys that many rows have (a band of a large group, the key of a text with many copies)
+meet their rows by broadcast, a bounded number of keys, so that no task gets all rows of one. A pair at the threshold shares no band with a probability of 1.3e-6.
 
 Documents without words (or null text): empty set, no links, a component of their own. Repeated rows are
 copies of one another. A null doc_id takes part and has the least other doc_id of its group, or null.
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import OWN, cut, numbered, text_or_empty
+from lanewise.llm.common import OWN, cut, hot_keys, joined, numbered, text_or_empty
 
 WORDS = 5
 ROWS, BANDS = 5, 50
@@ -272,9 +273,10 @@ def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("_row").alias("node"))).alias("first")
     classes = cut(all_docs.where("n_shingles > 0").groupBy("key_a", "key_b").agg(first).select("key_a", "key_b", "first.doc_id", "first.node"), "classes")
     nodes = all_docs.join(classes.select("node"), all_docs["_row"] == F.col("node")).select("node", "n_shingles", "signature", "bands")
-    members = nodes.select("node", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = cut(members.join(shared, "key"), "members")
+    members = cut(nodes.select("node", F.explode("bands").alias("key")), "bands")
+    shared = cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    hot = hot_keys(members, ["key"])  # a band that many classes have
+    members = cut(joined(members, shared, ["key"], hot=hot), "members")
     involved = cut(nodes.join(members.select("node").distinct(), "node").select("node", "n_shingles", "signature"), "involved")
     node_texts = texts.select(F.col("_row").alias("node"), "text")
     enough = least_estimate(NUMERATOR / DENOMINATOR)
@@ -290,8 +292,8 @@ def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
         buckets = cut(_rooted(buckets.select("key", "node", F.col("node").alias("root")), labels, "root"), "buckets")
         # only buckets that hold more than one component matter
         mixed = buckets.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("drawn"), F.min("node").alias("least"), F.count("*").alias("n"))
-        mixed = mixed.where("low < high").select("key", (F.col("drawn") if turn else F.col("least")).alias("leader"), "n")
-        buckets = buckets.join(mixed, "key")
+        mixed = cut(mixed.where("low < high").select("key", (F.col("drawn") if turn else F.col("least")).alias("leader"), "n"), "mixed")
+        buckets = joined(buckets, mixed, ["key"], hot=hot)
         if turn < 2:
             pairs = buckets.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
             best = F.max_by("u", F.struct("estimate", -F.col("u"))).alias("u")
@@ -312,8 +314,8 @@ def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
             tried = done if tried is None else tried.unionByName(done)
     rooted = cut(_rooted(classes.withColumn("root", F.col("node")), labels, "root"), "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = rooted.join(least, "root").select("key_a", "key_b", "component_id", F.col("root").alias("_group"))
-    out = all_docs.select("_row", "doc_id", "n_shingles", "key_a", "key_b").where("n_shingles > 0").join(found, ["key_a", "key_b"])
+    found = cut(joined(rooted, least, ["root"]).select("key_a", "key_b", "component_id", F.col("root").alias("_group")), "found")
+    out = joined(all_docs.select("_row", "doc_id", "n_shingles", "key_a", "key_b").where("n_shingles > 0"), found, ["key_a", "key_b"])
     alone = all_docs.where("n_shingles = 0").select("_row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("_row").alias("_group"))
     out = out.select("_row", "doc_id", "n_shingles", "component_id", "_group").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
