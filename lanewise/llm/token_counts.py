@@ -61,9 +61,9 @@ def head_counts(texts: DataFrame, n_texts: int, file: str, head_size: int, sampl
     share = min(modulus, -(-modulus * sample_docs // max(1, n_texts)))
     sample = texts.where(F.pmod(F.xxhash64("_row"), F.lit(modulus)) < share).select("text")
     counts = sample.mapInArrow(_pretokens, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    # how many pre-tokens occur how often, then the least frequency that keeps the head within its bound
+    # how many pre-tokens occur how often, then the least frequency that keeps the head within its bound; m pre-tokens in all have at most sqrt(2 m) frequencies
     counts = cut(counts, "head")
-    by_n = counts.groupBy(F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
+    by_n = counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
     least, total = 0, 0
     for row in by_n:
         if (total := total + row["k"]) > head_size:
