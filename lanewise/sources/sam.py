@@ -1,7 +1,7 @@
-"""Alignment records as SAM text and BAM files, one per cycle and sample.
+"""Alignment records as SAM text and BAM files, one per cycle and sample, or several where there are many records.
 
-Records are dealt by (cycle, sample, part), sorted by read within, and written by the tasks to a folder for
-attempts; the driver then moves one file per part into place. A rerun replaces what was there.
+Records are dealt by (cycle, sample, part), sorted by read within, and written by the tasks under a name of the
+attempt's own, which the task then renames to the part's. A rerun replaces what was there with the same.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ import zlib
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TYPES = {"AS": "i", "NM": "i", "BC": "Z", "MD": "Z"}
+#: Records that one task sorts and writes.
+PART_RECORDS = 1 << 19
 COLUMNS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 
 
@@ -28,6 +30,13 @@ def line(row: dict) -> str:
     return "\t".join([*(str(row[c]) for c in COLUMNS), *(f"{k}:{_TYPES.get(k, 'Z')}:{v}" for k, v in tags.items())]) + "\n"
 
 
+def line_of() -> Column:
+    """``line`` as a column, of a record's columns."""
+    kind = F.create_map(*[F.lit(x) for pair in _TYPES.items() for x in pair])
+    tags = F.transform(F.map_entries("tags"), lambda t: F.concat(t["key"], F.lit(":"), F.coalesce(F.try_element_at(kind, t["key"]), F.lit("Z")), F.lit(":"), t["value"]))
+    return F.concat_ws("\t", *[F.col(c).cast("string") for c in COLUMNS], tags)
+
+
 def _bin(start: int, end: int) -> int:
     """The smallest bin of the fixed scheme (512 Mb down to 16 kb) that holds an interval."""
     end -= 1
@@ -76,10 +85,11 @@ def bgzf(data: bytes) -> bytes:
 END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
-def write(records: DataFrame, reference: DataFrame, out_dir: str, form: str = "SAM", prefix: str = "lanewise", parts: int = 1) -> list[str]:
+def write(records: DataFrame, reference: DataFrame, out_dir: str, form: str = "SAM", prefix: str = "lanewise", parts: int | None = None) -> list[str]:
     """``<prefix>_cycle<c>_<sample>.sam`` (or .bam), with parts ``.<k>`` behind the sample where there are several; returns the files.
 
-    ``out_dir`` is a folder that driver and executors share.
+    A part has some PART_RECORDS records, if ``parts`` doesn't say how many there are; that takes a count, so ``records``
+    should be a table then. ``out_dir`` is a folder that driver and executors share.
     """
     contigs = [(r["name"], r["length"]) for r in reference.select("rid", "name", "length").orderBy("rid").collect()]
     text, contig_of = header(contigs), {n: i for i, (n, _) in enumerate(contigs)}
@@ -88,7 +98,7 @@ def write(records: DataFrame, reference: DataFrame, out_dir: str, form: str = "S
     def emit(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["lane"], r["tile"], r["read_no"], r["mate"] or 0, r["rank"]))
         first = rows[0]
-        name = f"{prefix}_cycle{first['cycle']}_{first['sample']}{'' if parts == 1 else '.' + str(first['part'])}.{form.lower()}"
+        name = f"{prefix}_cycle{first['cycle']}_{first['sample']}{'' if first['parts'] == 1 else '.' + str(first['part'])}.{form.lower()}"
         for r in rows:
             r["tags"] = dict(r["tags"]) if r["tags"] else {}
         if form == "SAM":
@@ -104,7 +114,13 @@ def write(records: DataFrame, reference: DataFrame, out_dir: str, form: str = "S
         os.replace(attempt, top / name)  # the last attempt of a task wins; all write the same
         return pa.table({"file": [str(top / name)], "n": [len(rows)]})
 
-    dealt = records.withColumn("part", F.pmod(F.xxhash64("lane", "tile", "read_no"), F.lit(parts)).cast("int"))
+    if parts is None:
+        many = {(r["cycle"], r["sample"]): -(-r["n"] // PART_RECORDS) for r in records.groupBy("cycle", "sample").agg(F.count("*").alias("n")).collect()}  # a row per file
+        of = [x for (cycle, sample), n in many.items() if n > 1 for x in (F.lit(f"{cycle} {sample}"), F.lit(n))]
+        count = F.coalesce(F.try_element_at(F.create_map(*of), F.concat_ws(" ", "cycle", "sample")), F.lit(1)) if of else F.lit(1)
+    else:
+        count = F.lit(parts)
+    dealt = records.withColumn("parts", count.cast("int")).withColumn("part", F.pmod(F.xxhash64("lane", "tile", "read_no"), F.col("parts")).cast("int"))
     return sorted(r["file"] for r in dealt.groupBy("cycle", "sample", "part").applyInArrow(emit, "file string, n long").collect())  # a row per file
 
 
