@@ -11,13 +11,17 @@ config file, that over RunInfo, that over the defaults.
 from __future__ import annotations
 
 import argparse
-from dataclasses import fields
+import uuid
+from dataclasses import fields, replace
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lanewise import config
-from lanewise.operators import index
+from lanewise.functions import codecs
+from lanewise.operators import demux, index, mapping, shards
 from lanewise.sources import bcl, fasta, sam
 
 
@@ -48,15 +52,27 @@ def settings_of(args: argparse.Namespace) -> config.Settings:
 
 
 def build_index(spark: SparkSession, source: str, out: str, keep_spaces: bool, trim: bool) -> int:
-    """Writes the reference as a table from which the index is made; returns both strands' size."""
-    fasta.read(spark, source, keep_spaces, trim).coalesce(1).write.mode("overwrite").parquet(out)
-    return index.genome_size(spark.read.parquet(out))
+    """Writes the reference as a table, and its index beside it if one index can hold it; returns both strands' size."""
+    fasta.read(spark, source, keep_spaces, trim).write.mode("overwrite").parquet(out)
+    reference = spark.read.parquet(out)
+    size = index.genome_size(reference)
+    if size <= 2 * shards.SHARD_BASES:
+        index.save(spark, index.build(reference), f"{out}.arrays")
+    return size
+
+
+def index_of(spark: SparkSession, path: str, reference: DataFrame):
+    """The broadcast index: the stored one, or made again where there is none; None for a reference that needs several."""
+    if index.genome_size(reference) > 2 * shards.SHARD_BASES:
+        return None
+    try:
+        return index.broadcast(spark, index.load(spark, f"{path}.arrays"))
+    except AnalysisException:  # built without
+        return index.broadcast(spark, index.build(reference))
 
 
 def map_run(spark: SparkSession, merged: config.Settings, live_: bool) -> list[str]:
     """Maps a run; with ``live_`` until it is stopped, else what is there. Returns the files of all output cycles."""
-    from dataclasses import replace
-
     from lanewise.streaming import live
 
     reference = spark.read.parquet(merged.index)
@@ -64,12 +80,37 @@ def map_run(spark: SparkSession, merged: config.Settings, live_: bool) -> list[s
     out = Path(settings.out_dir)
     out.mkdir(parents=True, exist_ok=True)
     (out / "run.ini").write_text(config.write_ini(settings))
-    shared = index.broadcast(spark, index.build(reference))
+    shared = index_of(spark, merged.index, reference)
+    if shared is None:
+        if live_:
+            raise index.TooLarge("a reference of several shards is mapped when the run is there, not live")
+        return map_shards(spark, settings, reference)
     query = live.run(spark, settings.bcl_dir, shared, settings, f"{settings.temp_dir}/states", f"{settings.temp_dir}/checkpoint", available_now=not live_)
     query.awaitTermination()
     return output(spark, settings, reference, shared)
 
 
+def map_shards(spark: SparkSession, settings: config.Settings, reference: DataFrame) -> list[str]:
+    """Records of whole reads against a reference of several shards."""
+    reads = bcl.reads(spark, settings.bcl_dir, settings.segments).where(F.col("lane").isin(list(settings.lanes)) & F.col("tile").isin(list(settings.tiles)))
+    failed = bcl.filters(spark, settings.bcl_dir).where(~F.col("pass")).select("lane", "tile", "read_no")
+    reads = reads.join(failed, ["lane", "tile", "read_no"], "left_anti")
+    codes = reads.where("mate = 0").groupBy("lane", "tile", "read_no").agg(F.array_sort(F.collect_list(F.struct("seg_id", "calls"))).alias("x"))  # of one read
+    codes = reads.select("lane", "tile", "read_no").distinct().join(codes, ["lane", "tile", "read_no"], "left")
+    barcode = F.coalesce(codecs.read_bases(F.expr("aggregate(x, X'', (a, b) -> concat(a, b.calls))")), F.lit(""))
+    routed = demux.for_settings(codes.select("lane", "tile", "read_no", barcode.alias("barcode")), settings)
+    states = shards.read_states(reads.where("mate > 0"), reference, settings)
+    records = mapping.sam(states, reference, None, settings, routed).withColumn("cycle", F.lit(settings.total_cycles))
+    return _written(spark, records, reference, settings)
+
+
+def _written(spark: SparkSession, records: DataFrame, reference: DataFrame, settings: config.Settings) -> list[str]:
+    """Writes records once as a table, then as files of bounded parts."""
+    path = f"{settings.temp_dir}/records-{uuid.uuid4().hex}"
+    records.write.parquet(path)
+    return sam.write(spark.read.parquet(path), reference, settings.out_dir, settings.out_format)
+
+
 def output(spark: SparkSession, settings: config.Settings, reference, shared) -> list[str]:
     """Records of the output cycles; a cycle that wasn't kept is named and the others are still written."""
     from lanewise.streaming import live
@@ -81,7 +122,7 @@ def output(spark: SparkSession, settings: config.Settings, reference, shared) ->
         except ValueError as e:
             print(e)
             continue
-        files += sam.write(records, reference, settings.out_dir, settings.out_format)
+        files += _written(spark, records, reference, settings)
     return files
 
 
@@ -115,11 +156,9 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "map":
         print(*map_run(spark, merged, args.live), sep="\n")
     else:
-        from dataclasses import replace
-
         reference = spark.read.parquet(merged.index)
         settings = replace(merged, genome_size=index.genome_size(reference)).resolved()
-        print(*output(spark, settings, reference, index.broadcast(spark, index.build(reference))), sep="\n")
+        print(*output(spark, settings, reference, index_of(spark, merged.index, reference)), sep="\n")
 
 
 if __name__ == "__main__":

@@ -22,6 +22,12 @@ def quality_of(b: Column) -> Column:
     return F.char(F.shiftright(b, 2) + 33)
 
 
+#: What every call stands for, in order of the byte.
+_CALLS = "".join(map(chr, range(256)))
+_BASES = "".join("N" if b < 4 else BASES[b & 3] for b in range(256))
+_QUALITIES = "".join(chr(33 + (b >> 2)) for b in range(256))
+
+
 def bases_of(calls: Column) -> Column:
     """A read's sequence from its array of base calls."""
     return F.array_join(F.transform(calls, base_of), "")
@@ -31,6 +37,15 @@ def qualities_of(calls: Column) -> Column:
     return F.array_join(F.transform(calls, quality_of), "")
 
 
+def read_bases(calls: Column) -> Column:
+    """A read's sequence from its base calls as bytes."""
+    return F.translate(F.decode(calls, "ISO-8859-1"), _CALLS, _BASES)
+
+
+def read_qualities(calls: Column) -> Column:
+    return F.translate(F.decode(calls, "ISO-8859-1"), _CALLS, _QUALITIES)
+
+
 def code_of(base: Column) -> Column:
     """0 to 3; what is no A, C or G counts as T."""
     at = F.instr(F.lit("ACG"), F.upper(base))

@@ -31,12 +31,34 @@ def anchors(reads: DataFrame, k: int = 13, interval: int = 6, most: int = 50) ->
 
 
 def placements(reads: DataFrame, strands: DataFrame, k: int = 13, length: int = 100) -> DataFrame:
-    """read_no, gid, pos, clip, seq, target: each place of a read with its shortest clip; target is the strand's text there."""
-    hits = anchors(reads, k).join(kmers(strands, k), "k").select("read_no", "seq", "clip", "gid", (F.col("pos") - F.col("clip")).alias("pos"))
-    best = hits.where("pos >= 0").groupBy("read_no", "gid", "pos").agg(F.min("clip").alias("clip"), F.first("seq").alias("seq"))
+    """read_no, gid, pos, clip, seq, target, length: each place of a read with its shortest clip; target is the strand's text there, length the strand's.
+
+    Only numbers meet on the k-mers; the texts come after, a row per place.
+    """
+    kmer = anchors(reads, k).select("read_no", "clip", "k")
+    hits = kmer.join(kmers(strands, k), "k").select("read_no", "clip", "gid", (F.col("pos") - F.col("clip")).alias("pos"))
+    best = hits.where("pos >= 0").groupBy("read_no", "gid", "pos").agg(F.min("clip").alias("clip"))
     texts = strands.select("gid", F.col("seq").alias("text"), "length")
     inside = best.join(texts, "gid").where(F.col("pos") + length <= F.col("length"))
-    return inside.select("read_no", "gid", "pos", "clip", "seq", F.substr("text", (F.col("pos") + 1).cast("int"), F.lit(length)).alias("target"))
+    placed = inside.select("read_no", "gid", "pos", "clip", "length", F.substr("text", (F.col("pos") + 1).cast("int"), F.lit(length)).alias("target"))
+    return placed.join(reads.select("read_no", "seq"), "read_no").select("read_no", "gid", "pos", "clip", "seq", "target", "length")
+
+
+def states(scored: DataFrame, reads: DataFrame, length: int = 100) -> DataFrame:
+    """Placements as states in mapping.read_states' form, for records without an index. reads: lane, tile, read_no, mate, calls.
+
+    Places of a read with one CIGAR and the same bases are one seed. Reads without a place have no seeds.
+    """
+    differ = F.zip_with(F.split("seq", ""), F.split("target", ""), lambda x, y: F.when(x != y, y).otherwise(F.lit("")))
+    bases = F.array_join(F.slice(differ, F.col("clip") + 1, F.lit(length)), "")
+    one = scored.select("read_no", ungapped_cigar(F.col("seq"), F.col("target"), F.col("clip")).alias("cigar"), bases.alias("bases"), F.struct("gid", (F.col("length") - F.col("pos") - length).cast("long").alias("at")).alias("place"))
+    seeds = one.groupBy("read_no", "cigar", "bases").agg(F.array_sort(F.collect_list("place")).alias("places"))  # of one read
+    seed = F.struct(F.lit(0).cast("long").alias("low"), F.size("places").cast("long").alias("high"), F.lit(0).alias("most"), "cigar", "bases")
+    each = seeds.groupBy("read_no").agg(F.array_sort(F.collect_list(F.struct(seed.alias("seed"), "places"))).alias("x"))  # of one read
+    of = lambda c, kind: F.coalesce(F.transform("x", lambda x: x[c]), F.array().cast(kind))
+    seeds_of, places_of = of("seed", "array<struct<low:bigint,high:bigint,most:int,cigar:array<struct<len:int,op:int>>,bases:string>>"), of("places", "array<array<struct<gid:int,at:bigint>>>")
+    n = F.lit(length)
+    return reads.select("lane", "tile", "read_no", "mate", "calls").join(each, "read_no", "left").select("lane", "tile", "read_no", "mate", "calls", n.alias("length"), n.alias("cycle"), n.alias("run_cycle"), seeds_of.alias("seeds"), places_of.alias("places"))
 
 
 def mismatches(a: Column, b: Column, skip: Column) -> Column:

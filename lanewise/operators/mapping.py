@@ -1,10 +1,13 @@
 """Mapping reads in batch: every read's cycles folded by the kernel, seeds located, records assembled.
 
-Reads don't meet until records are written, so the fold runs where the reads are: no shuffle.
+The fold runs where the reads are: no shuffle. A state is of one read, mate and run cycle; the mates of a read
+that have been sequenced by a run cycle meet once, in one exchange by read, where records are chosen, flagged
+and told of each other.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -14,43 +17,58 @@ from lanewise.config import Settings, parse_mode
 from lanewise.functions import codecs, scoring
 from lanewise.functions.scoring import CIGAR
 from lanewise.operators.index import Index
-from lanewise.operators.kernel import Read, Rules, folded
+from lanewise.operators.kernel import Reads, Rules
 
 SEEDS = f"array<struct<low:long,high:long,most:int,cigar:{CIGAR},bases:string>>"
 PLACES = "array<struct<gid:int,at:long>>"
 KEY = ("lane", "tile", "read_no", "mate")
+#: A read at a cycle of the run.
+READ = ("lane", "tile", "read_no", "run_cycle")
+SEED_KIND = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64()), ("most", pa.int32()), ("cigar", pa.list_(pa.struct([("len", pa.int32()), ("op", pa.int32())]))), ("bases", pa.string())]))
+PLACE_KIND = pa.list_(pa.list_(pa.struct([("gid", pa.int32()), ("at", pa.int64())])))
+#: Reads that are folded together.
+TOGETHER = 1 << 14
 
 
-def state_row(read: Read, index: Index) -> tuple[list[dict], list[list[dict]]]:
-    """Seeds as structs, and where each occurs."""
-    seeds = [{"low": s.low, "high": s.high, "most": s.most, "cigar": [{"len": n, "op": op} for n, op in s.cigar], "bases": s.bases} for s in read.seeds]
-    return seeds, [[{"gid": g, "at": p} for g, p in index.places(s.low, s.high)] for s in read.seeds]
+def seed_columns(reads: Reads, index: Index) -> tuple[pa.Array, pa.Array]:
+    """Seeds and places of every read, as columns."""
+    seeds = reads.seeds_of()
+    rows = [[{"low": s.low, "high": s.high, "most": s.most, "cigar": [{"len": n, "op": op} for n, op in s.cigar], "bases": s.bases} for s in own] for own in seeds]
+    places = [[[{"gid": g, "at": p} for g, p in index.places(s.low, s.high)] for s in own] for own in seeds]
+    return pa.array(rows, SEED_KIND), pa.array(places, PLACE_KIND)
 
 
 def read_states(reads: DataFrame, index: Broadcast, settings: Settings, cycles: list[int] | None = None) -> DataFrame:
-    """lane, tile, read_no, mate, length, cycle, seeds, places: a row per read and output cycle. reads: key, calls binary (whole read)."""
+    """lane, tile, read_no, mate, calls, length, cycle, run_cycle, seeds, places: a row per read, mate and cycle. reads: key, calls binary (whole read).
+
+    ``cycles`` are cycles of every mate; without them there is one state of the whole read, whose run cycle is
+    the longest mate's length.
+    """
+    longest = max((s.length for s in settings.segments if s.mate), default=0)
+
+    def fold(batch: pa.RecordBatch, n: int, rules: Rules):
+        grid = np.frombuffer(b"".join(batch.column("calls").to_pylist()), np.uint8).reshape(-1, n)
+        state = Reads(len(grid))
+        for c in sorted(set(cycles or [n])):
+            for done in range(state.cycle, min(c, n)):
+                state.take(grid[:, done], rules)
+            seeds, places = seed_columns(state, index.value)
+            same = lambda x: pa.array(np.full(len(grid), x, np.int32))  # noqa: E731, B023
+            columns = [same(n), same(min(c, n)), same(c if cycles else longest or n), seeds, places]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (*KEY, "calls")), *columns], [*KEY, "calls", "length", "cycle", "run_cycle", "seeds", "places"])
 
     def work(batches):
         rules: dict[int, Rules] = {}
-        kinds = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64()), ("most", pa.int32()), ("cigar", pa.list_(pa.struct([("len", pa.int32()), ("op", pa.int32())]))), ("bases", pa.string())]))
-        places = pa.list_(pa.list_(pa.struct([("gid", pa.int32()), ("at", pa.int64())])))
         for batch in batches:
-            at, length, cycle, seeds, where = [], [], [], [], []
-            for i, calls in enumerate(batch.column("calls").to_pylist()):
-                n = len(calls)
+            sizes = np.array([len(x) for x in batch.column("calls").to_pylist()], np.int64)
+            for n in np.unique(sizes).tolist():
+                own = batch.filter(pa.array(sizes == n))
                 if n not in rules:
                     rules[n] = Rules(index.value, settings, n)
-                for c in cycles or [n]:
-                    row = state_row(folded(calls, rules[n], c), index.value)
-                    at.append(i)
-                    length.append(n)
-                    cycle.append(min(c, n))
-                    seeds.append(row[0])
-                    where.append(row[1])
-            taken = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(taken) for k in (*KEY, "calls")), pa.array(length, pa.int32()), pa.array(cycle, pa.int32()), pa.array(seeds, kinds), pa.array(where, places)], [*KEY, "calls", "length", "cycle", "seeds", "places"])
+                for at in range(0, own.num_rows, TOGETHER):
+                    yield from fold(own.slice(at, TOGETHER), n, rules[n])
 
-    return reads.select(*KEY, "calls").mapInArrow(work, f"lane int, tile int, read_no long, mate int, calls binary, length int, cycle int, seeds {SEEDS}, places array<{PLACES}>")
+    return reads.select(*KEY, "calls").mapInArrow(work, f"lane int, tile int, read_no long, mate int, calls binary, length int, cycle int, run_cycle int, seeds {SEEDS}, places array<{PLACES}>")
 
 
 def alignments(states: DataFrame, index: Broadcast, settings: Settings) -> DataFrame:
@@ -58,9 +76,9 @@ def alignments(states: DataFrame, index: Broadcast, settings: Settings) -> DataF
     names = states.columns
     rest = [c for c in names if c not in ("seeds", "places")]
     each = states.select(*rest, F.explode(F.arrays_zip("seeds", "places")).alias("x"))
-    s = each.select(*rest, F.col("x.seeds.cigar").alias("cigar"), F.col("x.seeds.bases").alias("bases"), F.col("x.places").alias("places"))
-    s = s.withColumn("score", scoring.alignment_score(F.col("cigar"), settings)).withColumn("clip", scoring.softclip_length(F.col("cigar"))).withColumn("n", F.size("places"))
-    per = Window.partitionBy(*KEY, "cycle")
+    s = each.select(*rest, F.col("x.seeds.cigar").alias("cigar"), F.col("x.seeds.bases").alias("bases"), F.col("x.places").alias("places"), (F.col("x.seeds.high") - F.col("x.seeds.low")).alias("n"))
+    s = s.withColumn("score", scoring.alignment_score(F.col("cigar"), settings)).withColumn("clip", scoring.softclip_length(F.col("cigar")))
+    per = Window.partitionBy(*READ, "mate")
     text = scoring.cigar_string(F.col("cigar"), True)
     s = s.withColumn("text", text)
     s = s.withColumn("seed", F.row_number().over(per.orderBy(F.desc("score"), F.col("clip") > 0, "clip", F.size("cigar"), "text", "bases")).cast("int"))
@@ -78,12 +96,38 @@ def alignments(states: DataFrame, index: Broadcast, settings: Settings) -> DataF
 WINDOW = 10
 
 
-def records(aligned: DataFrame, reference: DataFrame, settings: Settings) -> DataFrame:
-    """The reported places of each read's mates: key, cycle, gid, start, primary and the seed's columns.
+def _choice(mode: str, best_n: int):
+    """Of a read's places in order of mate and rank: which are reported (from 1) and as which of their mate's.
 
-    Places are taken in order of mate and rank. One near a place that was taken for the same read and strand
-    (its window of ten or the next) is passed over, so the choice is a fold over the read's sorted places.
+    One near a place that was taken for the same strand (its window of ten or the next) is passed over. The choice
+    depends on what was chosen before, so it goes through the places once, in Python, with a set of windows.
     """
+
+    @F.arrow_udf("array<struct<at:int,nth:int>>")
+    def chosen(mates: pa.Array, gids: pa.Array, starts: pa.Array, scores: pa.Array) -> pa.Array:
+        out = []
+        for places in zip(*(x.to_pylist() for x in (mates, gids, starts, scores)), strict=True):
+            seen, taken, mate, printed, first = set(), [], None, 0, 0
+            for at, (m, gid, start, score) in enumerate(zip(*places, strict=True), 1):
+                if m != mate:
+                    mate, printed = m, 0
+                if (mode == "ANYBEST" and printed) or (mode == "BESTN" and printed >= best_n) or (mode == "ALLBEST" and printed and score != first):
+                    continue
+                window = start - start % WINDOW
+                if (gid, window) in seen or (gid, window + WINDOW) in seen:
+                    continue
+                first = first if printed else score
+                printed += 1
+                seen.add((gid, window))
+                taken.append({"at": at, "nth": printed})
+            out.append(taken)
+        return pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("nth", pa.int32())])))
+
+    return chosen
+
+
+def records(aligned: DataFrame, reference: DataFrame, settings: Settings) -> DataFrame:
+    """The reported places of each read's mates: key, run_cycle, cycle, gid, start, nth (1: primary) and the seed's columns."""
     mode, best_n = parse_mode(settings.out_mode)
     fine = aligned.where((F.col("score") >= settings.min_as) & (F.col("clip") <= settings.max_softclip_ratio * F.col("cycle")))
     if mode == "UNIQUE":
@@ -94,66 +138,63 @@ def records(aligned: DataFrame, reference: DataFrame, settings: Settings) -> Dat
     lengths = reference.select((F.col("rid")).alias("rid"), F.col("length").alias("contig"), F.col("name").alias("rname"))
     each = each.withColumn("rid", F.floor(F.col("gid") / 2).cast("int")).join(lengths, "rid")
     each = each.withColumn("start", scoring.sam_start(F.col("gid"), F.col("at"), F.col("contig"), F.col("cigar"))).where("start is not null")
-    each = each.withColumn("_id", F.monotonically_increasing_id())
-    item = F.struct("mate", "seed", "gid", "at", "start", "score", F.struct(*[c for c in each.columns if c not in ("lane", "tile", "read_no", "cycle", "mate", "seed", "gid", "at", "start", "score", "_id")]).alias("rest"))
-    grouped = each.groupBy("lane", "tile", "read_no", "cycle").agg(F.array_sort(F.collect_list(item)).alias("items"))  # of one read; at most 65535 places per seed
-    limit = {"ANYBEST": "s.printed < 1", "BESTN": f"s.printed < {best_n}", "ALLBEST": "(s.printed = 0 OR x.score = s.first)"}.get(mode, "true")
-    kind = dict(grouped.dtypes)["items"][len("array<") : -1]
-    chosen = F.expr(f"""aggregate(items, named_struct('mate', -1, 'printed', 0, 'first', 0, 'seen', cast(array() AS array<struct<g:int,b:long>>), 'out', cast(array() AS array<struct<item:{kind},nth:int>>)),
-        (a, x) -> transform(array(CASE WHEN x.mate = a.mate THEN a ELSE named_struct('mate', x.mate, 'printed', 0, 'first', 0, 'seen', a.seen, 'out', a.out) END), s ->
-            CASE WHEN ({limit}) AND NOT exists(s.seen, w -> w.g = x.gid AND (w.b = x.start - x.start % {WINDOW} OR w.b = x.start - x.start % {WINDOW} + {WINDOW}))
-            THEN named_struct('mate', s.mate, 'printed', s.printed + 1, 'first', CASE WHEN s.printed = 0 THEN x.score ELSE s.first END,
-                'seen', concat(s.seen, array(named_struct('g', x.gid, 'b', x.start - x.start % {WINDOW}))), 'out', concat(s.out, array(named_struct('item', x, 'nth', s.printed + 1))))
-            ELSE s END)[0], a -> a.out)""")
-    return grouped.select("lane", "tile", "read_no", "cycle", F.explode(chosen).alias("c")).select("lane", "tile", "read_no", "cycle", "c.item.mate", "c.item.gid", "c.item.start", "c.item.score", "c.item.seed", "c.nth", "c.item.rest.*")
+    item = F.struct("mate", "seed", "gid", "at", "start", "score", F.struct(*[c for c in each.columns if c not in (*READ, "mate", "seed", "gid", "at", "start", "score")]).alias("rest"))
+    grouped = each.groupBy(*READ).agg(F.array_sort(F.collect_list(item)).alias("items"))  # of one read; at most MOST_PLACES places per seed
+    of = lambda c: F.transform("items", lambda x: x[c])
+    picked = grouped.withColumn("picked", _choice(mode, best_n)(of("mate"), of("gid"), of("start"), of("score")))
+    out = picked.select(*READ, F.explode(F.transform("picked", lambda p: F.struct(F.element_at("items", p["at"]).alias("item"), p["nth"].alias("nth")))).alias("c"))
+    return out.select(*READ, "c.item.mate", "c.item.gid", "c.item.start", "c.item.score", "c.item.seed", "c.nth", "c.item.rest.*")
+
+
+def mate_flag(mate: Column, mates: Column) -> Column:
+    """Flag bits of a mate among those that have been sequenced: none for a single one."""
+    first, last = mate == F.get(mates, F.lit(0)), mate == F.element_at(mates, -1)
+    both = F.when(first, codecs.PAIRED | codecs.FIRST).when(last, codecs.PAIRED | codecs.LAST).otherwise(codecs.PAIRED | codecs.FIRST | codecs.LAST)
+    return F.when(F.size(mates) > 1, both).otherwise(F.lit(0))
 
 
 def sam(states: DataFrame, reference: DataFrame, index: Broadcast, settings: Settings, barcodes: DataFrame | None = None) -> DataFrame:
-    """Alignment records, a row each, with flags of mates. barcodes: lane, tile, read_no, barcode (formatted) and sample."""
+    """Alignment records, a row each, with flags of mates; cycle is that of the run. barcodes: lane, tile, read_no, barcode (formatted) and sample.
+
+    A read's mates are those that ``states`` has of it at the cycle: before the second mate's first cycle, reads are single.
+    """
+    per = Window.partitionBy(*READ)
+    states = states.withColumn("mates", F.sort_array(F.collect_set("mate").over(per)))
     found = records(alignments(states, index, settings), reference, settings)
-    mates = [s.mate for s in settings.segments if s.mate]
-    calls = F.transform(F.sequence(F.lit(1), F.col("cycle")), lambda i: F.conv(F.hex(F.substr("calls", i, F.lit(1))), 16, 10).cast("int"))
+    read = F.substring("calls", F.lit(1), F.col("cycle"))
     reverse = F.col("gid") % 2 == 1
-    place = F.lit(0)
-    if len(mates) > 1:
-        first, last = mates[0], mates[-1]
-        place = F.when(F.col("mate") == first, codecs.PAIRED | codecs.FIRST).when(F.col("mate") == last, codecs.PAIRED | codecs.LAST).otherwise(codecs.PAIRED | codecs.FIRST | codecs.LAST)
-    seq, qual = codecs.bases_of(calls), codecs.qualities_of(calls)
+    place = mate_flag(F.col("mate"), F.col("mates"))
+    seq, qual = codecs.read_bases(read), codecs.read_qualities(read)
     one = found.withColumn("flag", place.bitwiseOR(F.when(F.col("nth") > 1, codecs.SECONDARY).otherwise(0)).bitwiseOR(F.when(reverse, codecs.REVERSE).otherwise(0)))
     one = one.withColumn("seq", F.when(F.col("nth") > 1, "*").when(reverse, codecs.reverse_complement(seq)).otherwise(seq)).withColumn("qual", F.when(F.col("nth") > 1, "*").when(reverse, F.reverse(qual)).otherwise(qual))
     text = scoring.cigar_string(F.col("cigar"), settings.extended_cigar)
     turned = F.array_join(F.reverse(F.regexp_extract_all(text, F.lit("([0-9]+[A-Z])"), F.lit(1))), "")
     one = one.withColumn("cigar_text", F.when(reverse, turned).otherwise(text)).withColumn("md", F.when(reverse, codecs.reverse_md(F.col("md"))).otherwise(F.col("md"))).drop("calls", "cigar")
     if settings.report_unmapped:
-        mapped = one.select(*KEY, "cycle").distinct()
-        lost = states.join(mapped, [*KEY, "cycle"], "left_anti").select(*KEY, "cycle", place.bitwiseOR(F.lit(codecs.UNMAPPED)).alias("flag"), seq.alias("seq"), qual.alias("qual"), F.lit(1).alias("nth"))
+        mapped = one.select(*READ, "mate").distinct()
+        quiet = states
+        if parse_mode(settings.out_mode)[0] == "UNIQUE":  # mapped to several places isn't unmapped
+            quiet = states.where("size(seeds) = 0 or (size(seeds) = 1 and size(places[0]) = 1)")
+        lost = quiet.join(mapped, [*READ, "mate"], "left_anti").select(*READ, "mate", "mates", place.bitwiseOR(F.lit(codecs.UNMAPPED)).alias("flag"), seq.alias("seq"), qual.alias("qual"), F.lit(1).alias("nth"))
         one = one.unionByName(lost, allowMissingColumns=True)
-    read = ["lane", "tile", "read_no", "cycle"]
-    if len(mates) > 1:
-        after = {m: mates[(i + 1) % len(mates)] for i, m in enumerate(mates)}
-        heads = one.where("nth = 1").select(*read, F.col("mate").alias("_m"), F.struct("flag", "rname", "start").alias("_next"))
-        nexts = F.create_map(*[F.lit(x) for m, n in after.items() for x in (m, n)])
-        one = one.withColumn("_m", nexts[F.col("mate")]).join(heads, [*read, "_m"], "left").drop("_m")
-        lost = F.col("_next").isNull() | codecs.has_flag(F.col("_next.flag"), codecs.UNMAPPED)
-        more = F.when(lost, codecs.MATE_UNMAPPED).otherwise(0).bitwiseOR(F.when(codecs.has_flag(F.coalesce("_next.flag", F.lit(0)), codecs.REVERSE), codecs.MATE_REVERSE).otherwise(0))
-        one = one.withColumn("rnext", F.when(lost & F.col("_next").isNotNull(), F.col("rname")).otherwise(F.col("_next.rname"))).withColumn("pnext", F.when(lost & F.col("_next").isNotNull(), F.col("start")).otherwise(F.col("_next.start")))
-        alone = codecs.has_flag(F.col("flag"), codecs.UNMAPPED) & ~lost
-        one = one.withColumn("rname", F.when(alone, F.col("_next.rname")).otherwise(F.col("rname"))).withColumn("start", F.when(alone, F.col("_next.start")).otherwise(F.col("start"))).withColumn("flag", F.col("flag").bitwiseOR(more)).drop("_next")
-    else:
-        one = one.withColumn("rnext", F.lit(None).cast("string")).withColumn("pnext", F.lit(None).cast("long"))
+    # what the next mate's first record says; a read has a few mates
+    head = F.when(F.col("nth") == 1, F.struct("mate", F.struct("flag", "rname", "start").alias("head")))
+    heads = F.map_from_entries(F.collect_list(head).over(per))
+    after = F.element_at("mates", (F.array_position("mates", F.col("mate")) % F.size("mates") + 1).cast("int"))
+    one = one.withColumn("_next", F.when(F.size("mates") > 1, F.try_element_at(heads, after)))
+    lost = F.col("_next").isNull() | codecs.has_flag(F.col("_next.flag"), codecs.UNMAPPED)
+    more = F.when(F.size("mates") < 2, 0).otherwise(F.when(lost, codecs.MATE_UNMAPPED).otherwise(0).bitwiseOR(F.when(codecs.has_flag(F.coalesce("_next.flag", F.lit(0)), codecs.REVERSE), codecs.MATE_REVERSE).otherwise(0)))
+    one = one.withColumn("rnext", F.when(lost & F.col("_next").isNotNull(), F.col("rname")).otherwise(F.col("_next.rname"))).withColumn("pnext", F.when(lost & F.col("_next").isNotNull(), F.col("start")).otherwise(F.col("_next.start")))
+    alone = codecs.has_flag(F.col("flag"), codecs.UNMAPPED) & ~lost
+    one = one.withColumn("rname", F.when(alone, F.col("_next.rname")).otherwise(F.col("rname"))).withColumn("start", F.when(alone, F.col("_next.start")).otherwise(F.col("start"))).withColumn("flag", F.col("flag").bitwiseOR(more)).drop("_next")
     if barcodes is not None:
         one = one.join(barcodes, ["lane", "tile", "read_no"])
     else:
         one = one.withColumn("barcode", F.lit("")).withColumn("sample", F.lit("all"))
     tags = F.when(F.col("score").isNotNull(), codecs.tag_map(F.col("score"), F.col("barcode"), F.col("nm"), F.col("md")))
     return one.select(
-        "lane", "tile", "read_no", "mate", "cycle", "sample", F.col("nth").alias("rank"),
+        "lane", "tile", "read_no", "mate", F.col("run_cycle").alias("cycle"), "sample", F.col("nth").alias("rank"),
         codecs.read_name(F.col("lane"), F.col("tile"), F.col("read_no")).alias("qname"), "flag", F.coalesce("rname", F.lit("*")).alias("rname"),
         (F.coalesce("start", F.lit(-1)) + 1).cast("long").alias("pos"), F.coalesce("mapq", F.lit(0)).alias("mapq"), F.coalesce("cigar_text", F.lit("*")).alias("cigar"),
         F.coalesce("rnext", F.lit("*")).alias("rnext"), (F.coalesce("pnext", F.lit(-1)) + 1).cast("long").alias("pnext"), F.lit(0).cast("long").alias("tlen"), "seq", "qual", tags.alias("tags"),
     )
-
-
-def packed_calls(calls: Column) -> Column:
-    """Base calls as a binary column."""
-    return F.unhex(F.array_join(F.transform(calls, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
