@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise import config
@@ -12,6 +12,8 @@ from lanewise.functions import codecs, scoring
 from lanewise.operators import anchors, demux
 from lanewise.plans import derive
 from lanewise.plans.derive import with_tables
+from lanewise.session import shared_dir
+from lanewise.sources import bcl, fasta
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,33 +36,87 @@ def query(sql: str | None = None):
 # ---- decoding ----
 
 
+def _bytes(spark, sf_dir, *columns):
+    return derive.reads(spark, sf_dir).select(*columns, derive.calls(F.col("w")).alias("calls"))
+
+
 @query(with_tables("calls") + """
 SELECT read_no, string_agg(CASE WHEN b < 4 THEN 'N' ELSE substr('ACGT', (b & 3) + 1, 1) END, '' ORDER BY cycle) AS seq FROM calls GROUP BY read_no""")
 def decode_base(spark, sf_dir):
-    return derive.reads(spark, sf_dir).select("read_no", codecs.bases_of(derive.call_array(F.col("seq"), F.col("w"))).alias("seq"))
+    return _bytes(spark, sf_dir, "read_no").select("read_no", codecs.read_bases(F.col("calls")).alias("seq"))
 
 
 @query(with_tables("calls") + "SELECT read_no, string_agg(chr(33 + (b >> 2)), '' ORDER BY cycle) AS qual FROM calls GROUP BY read_no")
 def decode_qual(spark, sf_dir):
-    return derive.reads(spark, sf_dir).select("read_no", codecs.qualities_of(derive.call_array(F.col("seq"), F.col("w"))).alias("qual"))
+    return _bytes(spark, sf_dir, "read_no").select("read_no", codecs.read_qualities(F.col("calls")).alias("qual"))
 
 
 @query(with_tables("calls") + "SELECT lane, tile, cycle, b, count(*) AS n FROM calls GROUP BY ALL")
 def encode_byte(spark, sf_dir):
-    calls = derive.reads(spark, sf_dir).select("lane", "tile", F.posexplode(derive.call_array(F.col("seq"), F.col("w"))).alias("at", "b"))
-    return calls.groupBy("lane", "tile", (F.col("at") + 1).alias("cycle"), "b").agg(F.count("*").alias("n"))
+    one = F.posexplode(F.split(F.decode("calls", "ISO-8859-1"), "")).alias("at", "x")
+    n = _bytes(spark, sf_dir, "lane", "tile").select("lane", "tile", one).groupBy("lane", "tile", "at", "x").agg(F.count("*").alias("n"))
+    return n.select("lane", "tile", (F.col("at") + 1).alias("cycle"), F.ascii("x").alias("b"), "n")
 
 
 @query("""SELECT c, CASE upper(c) WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 3 END AS code,
 CASE upper(c) WHEN 'A' THEN 'T' WHEN 'C' THEN 'G' WHEN 'G' THEN 'C' WHEN 'T' THEN 'A' ELSE 'N' END AS complement, count(*) AS n
-FROM (SELECT unnest(string_split(substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 200), '')) AS c FROM documents) WHERE c <> '' GROUP BY ALL""")
+FROM (SELECT unnest(string_split(regexp_replace(text, '[^A-Za-z]', '', 'g'), '')) AS c FROM documents) WHERE c <> '' GROUP BY ALL""")
 def two_bit_code(spark, sf_dir):
-    """Codes and counts of the first 200 letters of each text, as its SQL has it; later letters aren't counted."""
-    letters = F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 200)
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
     c = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split(letters, "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
     return c.select("c", codecs.code_of(F.col("c")).alias("code"), codecs.complement(F.col("c")).alias("complement"), "n")
 
 
+# ---- files of a run, made of the derived calls and read back ----
+
+
+def _tile_cycles(reads):
+    """lane, tile, cycle and the calls of all reads of the tile, by read. reads: lane, tile, read_no, calls."""
+    one = reads.select("lane", "tile", "read_no", F.posexplode(F.regexp_extract_all(F.hex("calls"), F.lit(".."), F.lit(0))).alias("at", "b"))
+    rows = one.groupBy("lane", "tile", "at").agg(F.array_sort(F.collect_list(F.struct("read_no", "b"))).alias("x"))  # a file of the run
+    return rows.select("lane", "tile", (F.col("at") + 1).alias("cycle"), F.unhex(F.array_join(F.transform("x", lambda x: x["b"]), "")).alias("calls"))
+
+
+def _int32(n: Column) -> Column:
+    """Little-endian."""
+    return F.concat(*[F.substring(F.unhex(F.lpad(F.hex(n), 8, "0")), i, 1) for i in (4, 3, 2, 1)])
+
+
+_ORDERED = "ordered_reads AS (SELECT *, row_number() OVER (PARTITION BY lane, tile ORDER BY read_no) - 1 AS place FROM reads)"
+
+
+@query(with_tables("calls") + """, places AS (SELECT read_no, row_number() OVER (PARTITION BY lane, tile ORDER BY read_no) - 1 AS place FROM reads),
+    per AS (SELECT lane, tile, count(*) AS n FROM reads GROUP BY ALL)
+SELECT lane, tile, cycle, n, place AS read_no, b FROM calls JOIN places USING (read_no) JOIN per USING (lane, tile)""")
+def bcl_scan(spark, sf_dir):
+    """Base call files by path and content: their rows counted by the header, and a row per read and cycle."""
+    files = _tile_cycles(_bytes(spark, sf_dir, "lane", "tile", "read_no")).select(bcl.bcl_path_of(F.lit("run"), F.col("lane"), F.col("tile"), F.col("cycle")).alias("path"), F.concat(_int32(F.octet_length("calls")), "calls").alias("content"))
+    return bcl.calls_in(bcl.parsed(files))
+
+
+@query(with_tables("reads") + f", {_ORDERED} SELECT lane, tile, place AS read_no, pass FROM ordered_reads")
+def filter_scan(spark, sf_dir):
+    one = F.array_sort(F.collect_list(F.struct("read_no", F.when(F.col("pass"), "01").otherwise("00").alias("x"))))
+    rows = derive.reads(spark, sf_dir).groupBy("lane", "tile").agg(one.alias("x"))  # a file of the run
+    content = F.concat(F.unhex(F.lit("0000000003000000")), _int32(F.size("x")), F.unhex(F.array_join(F.transform("x", lambda x: x["x"]), "")))
+    return bcl.filters_in(rows.select(bcl.filter_path_of(F.lit("run"), F.col("lane"), F.col("tile")).alias("path"), content.alias("content")))
+
+
+@query(with_tables("reads") + "SELECT read_no, substr(barcode, 1, 4) || '-' || substr(barcode, 5, 4) AS barcode, substr(barcode, 1, 4) || '-' || substr(barcode, 5, 1) AS at_cycle_5 FROM reads")
+def barcode_decode(spark, sf_dir):
+    """Barcodes from the base calls of their cycles, whole and after five of them."""
+    calls = derive.reads(spark, sf_dir).select("read_no", F.encode(F.translate("barcode", "ACGT", "\xa0\xa1\xa2\xa3"), "ISO-8859-1").alias("calls"))
+    upto = lambda n: codecs.formatted_barcode(codecs.read_bases(F.substring("calls", 1, n)), [4, 4])
+    return calls.select("read_no", upto(8).alias("barcode"), upto(5).alias("at_cycle_5"))
+
+
+@query(with_tables("reference") + "SELECT CAST(row_number() OVER (ORDER BY rid) - 1 AS INTEGER) AS rid, 'x>' || name || '_of_' || rid AS name, seq, length FROM reference")
+def fasta_scan(spark, sf_dir):
+    """Items as FASTA text: headers with spaces and '>', lines of 60 letters that end in both ways, empty lines."""
+    lines = F.concat(F.lit("x>"), "name", F.lit(" of "), F.col("rid").cast("string"), F.lit("\r\n"), F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n"), F.lit("\n\n"))
+    return fasta.parsed(derive.reference(spark, sf_dir).select(F.col("rid").alias("_n"), lines.alias("value")))
+
+
 @query(with_tables("reads") + "SELECT lane, tile, count(*) AS n, count(*) FILTER (pass) AS n_pass, sum(length(seq)) FILTER (pass) AS bases FROM reads GROUP BY ALL")
 def chastity_filter(spark, sf_dir):
     reads = derive.reads(spark, sf_dir)
@@ -163,35 +219,40 @@ def anchor_join_softclip(spark, sf_dir):
     return anchors.anchors(derive.reads(spark, sf_dir)).join(anchors.kmers(_strands(spark, sf_dir)), "k").select("read_no", "clip", "gid", "pos")
 
 
+def _repeated(spark, sf_dir):
+    """Strands of the items with repeats."""
+    return anchors.strands(derive.with_repeats(spark, sf_dir))
+
+
 def _placed(spark, sf_dir):
-    return anchors.placements(derive.reads(spark, sf_dir), _strands(spark, sf_dir))
+    return anchors.placements(derive.all_reads(spark, sf_dir), _repeated(spark, sf_dir))
 
 
 def _scored(spark, sf_dir):
     return anchors.scored(_placed(spark, sf_dir))
 
 
-@query(with_tables("placed", "strands") + "SELECT p.read_no, p.gid, p.pos, p.clip, CAST(hamming(substr(p.seq, p.clip + 1), substr(s.seq, CAST(p.pos + p.clip + 1 AS BIGINT), 100 - p.clip)) AS INTEGER) AS mismatches FROM placed p JOIN strands s USING (gid)")
+@query(with_tables("placed", "strands", planted=True) + "SELECT p.read_no, p.gid, p.pos, p.clip, CAST(hamming(substr(p.seq, p.clip + 1), substr(s.seq, CAST(p.pos + p.clip + 1 AS BIGINT), 100 - p.clip)) AS INTEGER) AS mismatches FROM placed p JOIN strands s USING (gid)")
 def mismatch_count(spark, sf_dir):
     p = _placed(spark, sf_dir)
     return p.select("read_no", "gid", "pos", "clip", anchors.mismatches(F.col("seq"), F.col("target"), F.col("clip")).alias("mismatches"))
 
 
-@query(with_tables("scored") + "SELECT read_no, gid, pos, clip, mismatches, score FROM scored")
+@query(with_tables("scored", planted=True) + "SELECT read_no, gid, pos, clip, mismatches, score FROM scored")
 def ungapped_extend(spark, sf_dir):
     return _scored(spark, sf_dir).select("read_no", "gid", "pos", "clip", "mismatches", "score")
 
 
-@query(with_tables("anchors", "kmers") + "SELECT read_no, clip, first.gid AS gid, first.e AS \"end\", n FROM (SELECT read_no, clip, min({'gid': gid, 'e': pos + 13}) AS first, count(*) AS n FROM anchors JOIN kmers USING (k) GROUP BY ALL)")
+@query(with_tables("anchors", "kmers", planted=True) + "SELECT read_no, clip, first.gid AS gid, first.e AS \"end\", n FROM (SELECT read_no, clip, min({'gid': gid, 'e': pos + 13}) AS first, count(*) AS n FROM anchors JOIN kmers USING (k) GROUP BY ALL)")
 def interval_identity(spark, sf_dir):
-    hits = anchors.anchors(derive.reads(spark, sf_dir)).join(anchors.kmers(_strands(spark, sf_dir)), "k")
+    hits = anchors.anchors(derive.all_reads(spark, sf_dir)).join(anchors.kmers(_repeated(spark, sf_dir)), "k")
     return anchors.identity(hits.select("read_no", "clip", "gid", (F.col("pos") + 13).alias("end"))).select("read_no", "clip", "first.gid", "first.end", "n")
 
 
-@query(with_tables("anchors", "kmers") + """SELECT read_no, gid, start, clip FROM (
+@query(with_tables("anchors", "kmers", planted=True) + """SELECT read_no, gid, start, clip FROM (
 SELECT read_no, gid, pos - clip AS start, clip, row_number() OVER (PARTITION BY read_no, gid, pos - clip ORDER BY clip) AS r FROM anchors JOIN kmers USING (k)) WHERE r = 1""")
 def prune_equal_interval(spark, sf_dir):
-    hits = anchors.anchors(derive.reads(spark, sf_dir)).join(anchors.kmers(_strands(spark, sf_dir)), "k")
+    hits = anchors.anchors(derive.all_reads(spark, sf_dir)).join(anchors.kmers(_repeated(spark, sf_dir)), "k")
     return hits.groupBy("read_no", "gid", (F.col("pos") - F.col("clip")).alias("start")).agg(F.min("clip").alias("clip"))
 
 
@@ -208,7 +269,7 @@ def _with_cigar(spark, sf_dir):
 
 
 #: Runs of matches and mismatches behind the clip, by numbering changes.
-_RUNS = with_tables("scored", "reads", "strands") + """, cells AS (
+_RUNS = with_tables("scored", "reads", "strands", planted=True) + """, cells AS (
     SELECT s.read_no, s.gid, s.pos, s.clip, i, substr(r.seq, i, 1) = substr(g.seq, CAST(s.pos + i AS BIGINT), 1) AS same, substr(g.seq, CAST(s.pos + i AS BIGINT), 1) AS base
     FROM (SELECT *, CAST(unnest(range(clip + 1, 101)) AS INTEGER) AS i FROM scored) s JOIN reads r USING (read_no) JOIN strands g ON g.gid = s.gid
 ), numbered AS (
@@ -258,10 +319,9 @@ def alignment_score(spark, sf_dir):
     return c.select("read_no", "gid", "pos", scoring.alignment_score(F.col("cigar"), SETTINGS).alias("score"))
 
 
-@query(with_tables("scored", "strands") + "SELECT read_no, gid, s.pos, CASE WHEN gid % 2 = 0 THEN s.pos + clip ELSE length - s.pos - 100 END AS start FROM scored s JOIN strands USING (gid)")
+@query(with_tables("scored", "strands", planted=True) + "SELECT read_no, gid, s.pos, CASE WHEN gid % 2 = 0 THEN s.pos + clip ELSE length - s.pos - 100 END AS start FROM scored s JOIN strands USING (gid)")
 def sam_start_pos(spark, sf_dir):
-    s = _strands(spark, sf_dir).select("gid", "length")
-    c = _with_cigar(spark, sf_dir).join(s, "gid")
+    c = _with_cigar(spark, sf_dir)
     # where the reversed text of a strand holds the read's last base
     position = F.col("length") - F.col("pos") - 100
     return c.select("read_no", "gid", "pos", scoring.sam_start(F.col("gid"), position, F.col("length"), F.col("cigar")).alias("start"))
@@ -272,7 +332,7 @@ _MAPQ_SQL = """, per AS (SELECT *, max(score) OVER w AS best, count(*) OVER w AS
 SELECT read_no, gid, pos, CAST(CASE WHEN places = 1 AND score = 0 THEN 42 WHEN r <= 0.1 THEN 0 WHEN r <= 0.29 THEN 1 WHEN r <= 0.435 THEN 2 WHEN r <= 0.55 THEN 3 ELSE floor(-10 * log10(1 - least(r, 0.99993)) + 0.5) END AS INTEGER) AS mapq FROM q"""
 
 
-@query(with_tables("scored") + _MAPQ_SQL)
+@query(with_tables("scored", planted=True) + _MAPQ_SQL)
 def mapq(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -286,7 +346,7 @@ def mapq(spark, sf_dir):
 
 # ---- report modes ----
 
-_RANKED = with_tables("scored") + """, ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY read_no ORDER BY score DESC, clip > 0, clip, gid, pos) AS INTEGER) AS rank,
+_RANKED = with_tables("scored", planted=True) + """, ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY read_no ORDER BY score DESC, clip > 0, clip, gid, pos) AS INTEGER) AS rank,
     max(score) OVER (PARTITION BY read_no) AS best, count(*) OVER (PARTITION BY read_no) AS places FROM scored)
 SELECT read_no, gid, pos, score, rank, CASE WHEN rank > 1 THEN 256 ELSE 0 END + CASE WHEN gid % 2 = 1 THEN 16 ELSE 0 END AS flag FROM ranked WHERE """
 
@@ -346,23 +406,117 @@ def task_status_counts(spark, sf_dir):
     return tasks.groupBy("lane", "status").agg(F.count("*").alias("n"), F.bool_and(F.col("status") == "FINISHED").alias("done"))
 
 
+# ---- records of ungapped placements ----
+
+#: Of each placement: its place, how good it is, its texts on the read's strand and on the contig's forward strand.
+_PLACES = _RUNS.rstrip() + """, texts AS (
+    SELECT read_no, gid, pos, clip, CASE WHEN clip > 0 THEN clip || 'S' ELSE '' END || string_agg(n || CASE WHEN same THEN 'M' ELSE 'X' END, '' ORDER BY i) AS text, count(*) + CASE WHEN clip > 0 THEN 1 ELSE 0 END AS size,
+        coalesce(string_agg(bases, '' ORDER BY i) FILTER (NOT same), '') AS bases, string_agg(CASE WHEN same THEN CAST(n AS VARCHAR) ELSE bases END, '' ORDER BY i) AS md,
+        string_agg(CASE WHEN same THEN CAST(n AS VARCHAR) ELSE reverse(translate(bases, 'ACGT', 'TGCA')) END, '' ORDER BY i DESC) AS md_reverse,
+        (100 - clip) || 'M' || CASE WHEN clip > 0 THEN clip || 'S' ELSE '' END AS cigar_reverse,
+        CAST(sum(CASE WHEN NOT same AND (nth > 1 OR clip > 0) THEN n ELSE 0 END) AS INTEGER) AS nm,
+        CAST(trunc(trunc(CASE WHEN clip > 0 THEN -(6.0 + clip * (6.0 / 13)) ELSE 0 END) - sum(CASE WHEN same OR (nth = total AND NOT same) OR (nth = 1 AND clip = 0) THEN 0 ELSE 6 * n END)
+            - max(CASE WHEN NOT same AND nth = 1 AND clip = 0 THEN 6.0 + n * 6.0 / 13 ELSE 0 END) - max(CASE WHEN NOT same AND nth = total AND NOT (nth = 1 AND clip = 0) THEN 6.0 + n * 6.0 / 13 ELSE 0 END)) AS INTEGER) AS score
+    FROM ordered GROUP BY read_no, gid, pos, clip
+), per AS (
+    SELECT *, max(score) OVER w AS best, count(*) OVER w AS found, sum(pow(0.01, -score / 6.0)) OVER w AS total, CASE WHEN score = 0 THEN 1.0 ELSE 0.49995 + 0.5 * (1 - pow(10.0, -5 - 100.0 * (20 / 6.0) / 100 + 2 * (100.0 * (-score / 6.0) / 100))) END AS p
+    FROM texts WINDOW w AS (PARTITION BY read_no)
+), likely AS (SELECT *, p * pow(0.01, (best - score) / 6.0) / (total / pow(0.01, -best / 6.0)) AS r FROM per
+), placed_records AS (
+    SELECT t.*, s.rid, f.name AS rname, CASE WHEN t.gid % 2 = 0 THEN pos + clip ELSE s.length - pos - 100 END AS start, s.length - pos - 100 AS place,
+        CASE WHEN found = 1 AND score = 0 THEN 42 WHEN r <= 0.1 THEN 0 WHEN r <= 0.29 THEN 1 WHEN r <= 0.435 THEN 2 WHEN r <= 0.55 THEN 3 ELSE CAST(floor(-10 * log10(1 - least(r, 0.99993)) + 0.5) AS INTEGER) END AS mapq,
+        dense_rank() OVER (PARTITION BY read_no ORDER BY score DESC, clip > 0, clip, size, text, bases) AS seed
+    FROM likely t JOIN strands s USING (gid) JOIN reference f USING (rid) WHERE score >= -20 AND clip <= 20
+)
+"""
+
+
+def _states(spark, sf_dir, reads):
+    """Ungapped placements as states of whole reads: read_no and what ``reads`` has besides (lane, tile, mate, calls)."""
+    return anchors.states(_scored(spark, sf_dir), reads)
+
+
+def _whole_reads(spark, sf_dir, *more):
+    return derive.all_reads(spark, sf_dir).select("lane", "tile", "read_no", F.lit(1).alias("mate"), derive.calls(F.col("w")).alias("calls"), *more)
+
+
+@query(_PLACES + """, turn AS (SELECT *, row_number() OVER (PARTITION BY read_no ORDER BY seed, gid, place) AS turn_no FROM placed_records), RECURSIVE_WALK
+SELECT read_no, gid, CAST(start AS BIGINT) AS start, score, CAST(row_number() OVER (PARTITION BY read_no ORDER BY turn_no) AS INTEGER) AS nth, CAST(mapq AS INTEGER) AS mapq FROM walk WHERE taken""")
+def ungapped_records(spark, sf_dir):
+    """Places that remain when those near a better one of the same strand are passed over, in the order of their rank."""
+    from lanewise.operators import mapping
+
+    settings = config.Settings(reads="100R", anchor_length=13, out_mode="ALL").resolved()
+    found = mapping.alignments(_states(spark, sf_dir, _whole_reads(spark, sf_dir)), None, settings)
+    return mapping.records(found, derive.with_repeats(spark, sf_dir), settings).select("read_no", "gid", "start", "score", "nth", "mapq")
+
+
+SQL["ungapped_records"] = SQL["ungapped_records"].replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_WALK", """walk AS (
+    SELECT read_no, 0::BIGINT AS turn_no, 0 AS gid, 0::BIGINT AS start, 0 AS score, 0 AS mapq, CAST([] AS VARCHAR[]) AS seen, false AS taken FROM (SELECT DISTINCT read_no FROM turn)
+    UNION ALL
+    SELECT t.read_no, t.turn_no, t.gid, t.start, t.score, t.mapq, CASE WHEN new THEN list_append(seen, t.gid || ':' || (t.start - t.start % 10)) ELSE seen END, new
+    FROM (SELECT t.*, w.seen, NOT list_contains(w.seen, t.gid || ':' || (t.start - t.start % 10)) AND NOT list_contains(w.seen, t.gid || ':' || (t.start - t.start % 10 + 10)) AS new
+          FROM walk w JOIN turn t ON t.read_no = w.read_no AND t.turn_no = w.turn_no + 1) t
+)""")
+
+#: The first record of a read, or of a mate: its sequence as called, turned for the reverse strand.
+_CALLED = """called AS (SELECT read_no, string_agg(CASE WHEN b < 4 THEN 'N' ELSE substr('ACGT', (b & 3) + 1, 1) END, '' ORDER BY cycle) AS seq, string_agg(chr(33 + (b >> 2)), '' ORDER BY cycle) AS qual FROM
+    (SELECT read_no, c AS cycle, CAST(((ascii(substr(w, c, 1)) * 7 + c) % 41) * 4 + instr('ACGT', substr(seq, c, 1)) - 1 AS INTEGER) AS b FROM (SELECT *, CAST(unnest(range(1, 101)) AS INTEGER) AS c FROM reads SEMI JOIN placed_records USING (read_no))) GROUP BY read_no)"""
+_CIGAR = "CASE WHEN gid % 2 = 1 THEN cigar_reverse ELSE CASE WHEN clip > 0 THEN clip || 'S' ELSE '' END || (100 - clip) || 'M' END"
+
+
+@query(_PLACES + f""", first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_no ORDER BY seed, gid, place) AS nth FROM placed_records) WHERE nth = 1), {_CALLED}
+SELECT 'lane.' || lane || '|tile.' || tile || '|read.' || read_no || chr(9) || CASE WHEN gid % 2 = 1 THEN 16 ELSE 0 END || chr(9) || rname || chr(9) || (start + 1) || chr(9) || mapq || chr(9) || {_CIGAR} || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9)
+    || CASE WHEN gid % 2 = 1 THEN reverse(translate(c.seq, 'ACGT', 'TGCA')) ELSE c.seq END || chr(9) || CASE WHEN gid % 2 = 1 THEN reverse(qual) ELSE qual END
+    || chr(9) || 'AS:i:' || score || chr(9) || 'BC:Z:' || substr(barcode, 1, 4) || '-' || substr(barcode, 5, 4) || chr(9) || 'NM:i:' || nm || chr(9) || 'MD:Z:' || CASE WHEN gid % 2 = 1 THEN md_reverse ELSE md END AS line
+FROM first JOIN called c USING (read_no) JOIN reads USING (read_no)""")
+def sam_lines(spark, sf_dir):
+    """The best place of every read as a line of SAM text."""
+    from lanewise.operators import mapping
+    from lanewise.sources import sam
+
+    settings = config.Settings(reads="100R", anchor_length=13, out_mode="ANYBEST").resolved()
+    barcodes = derive.all_reads(spark, sf_dir).select("lane", "tile", "read_no", codecs.formatted_barcode(F.col("barcode"), [4, 4]).alias("barcode"), F.lit("all").alias("sample"))
+    records = mapping.sam(_states(spark, sf_dir, _whole_reads(spark, sf_dir)), derive.with_repeats(spark, sf_dir), None, settings, barcodes)
+    return records.select(sam.line_of().alias("line"))
+
+
+@query(_PLACES + """, pairs AS (SELECT read_no, lane, read_no - CASE WHEN read_no % 2 <> 0 THEN 1 ELSE 0 END AS pair, CAST(CASE WHEN read_no % 2 <> 0 THEN 2 ELSE 1 END AS INTEGER) AS mate FROM reads),
+turn AS (SELECT p.*, pair, mate, row_number() OVER (PARTITION BY read_no, seed ORDER BY gid, place) AS nth FROM placed_records p JOIN pairs USING (read_no)),
+ones AS (SELECT *, row_number() OVER (PARTITION BY pair, mate ORDER BY seed) AS of_mate FROM turn WHERE nth = 1),
+leader AS (SELECT pair, gid AS lead_gid, start - start % 10 AS lead FROM ones WHERE mate = 1 AND of_mate = 1),
+seconds AS (SELECT o.*, row_number() OVER (PARTITION BY o.pair ORDER BY of_mate) AS r2 FROM ones o LEFT JOIN leader USING (pair) WHERE mate = 2 AND NOT coalesce(gid = lead_gid AND (start - start % 10 = lead OR start - start % 10 + 10 = lead), false)),
+heads AS (SELECT pair, mate, gid, rname, start, text FROM ones WHERE mate = 1 AND of_mate = 1 UNION ALL SELECT pair, mate, gid, rname, start, text FROM seconds WHERE r2 = 1),
+whole AS (SELECT p.pair, p.mate, p.lane, count(*) OVER (PARTITION BY p.pair, p.lane) AS mates, h.gid, h.rname, h.start, o.gid AS o_gid, o.rname AS o_rname, o.start AS o_start, o.pair IS NOT NULL AS o_mapped
+    FROM pairs p LEFT JOIN heads h ON h.pair = p.pair AND h.mate = p.mate LEFT JOIN heads o ON o.pair = p.pair AND o.mate = 3 - p.mate)
+SELECT pair AS read_no, mate, CAST(CASE WHEN mates = 2 THEN 1 + CASE mate WHEN 1 THEN 64 ELSE 128 END + CASE WHEN NOT o_mapped THEN 8 WHEN o_gid % 2 = 1 THEN 32 ELSE 0 END ELSE 0 END + CASE WHEN gid IS NULL THEN 4 WHEN gid % 2 = 1 THEN 16 ELSE 0 END AS INTEGER) AS flag,
+    coalesce(rname, CASE WHEN mates = 2 THEN o_rname END, '*') AS rname, CAST(coalesce(start, CASE WHEN mates = 2 THEN o_start END, -1) + 1 AS BIGINT) AS pos,
+    CASE WHEN mates = 2 THEN coalesce(CASE WHEN o_mapped THEN o_rname ELSE rname END, '*') ELSE '*' END AS rnext, CAST(CASE WHEN mates = 2 THEN coalesce(CASE WHEN o_mapped THEN o_start ELSE start END, -1) + 1 ELSE 0 END AS BIGINT) AS pnext
+FROM whole""")
+def mate_pairs(spark, sf_dir):
+    """Neighbouring reads as the mates of a read, each with its best place or unmapped, and what they tell of each other."""
+    from lanewise.operators import mapping
+
+    odd = F.col("read_no") % 2 != 0
+    pair = lambda df: df.withColumn("mate", F.when(odd, 2).otherwise(1)).withColumn("read_no", F.col("read_no") - F.when(odd, 1).otherwise(0))
+    settings = config.Settings(reads="100R,100R", anchor_length=13, report_unmapped=True).resolved()
+    states = pair(_states(spark, sf_dir, _whole_reads(spark, sf_dir).withColumn("tile", F.lit(1101))))
+    return mapping.sam(states, derive.with_repeats(spark, sf_dir), None, settings).select("read_no", "mate", "flag", "rname", "pos", "rnext", "pnext")
+
+
 # ---- the whole mapper on the derived reads; beyond SQL, held against brute force in tests ----
 
 
 def _mapper(spark, sf_dir, mode="ALL", **more):
     from lanewise.operators import index
 
-    reference = derive.reference(spark, sf_dir)
+    reference = derive.with_repeats(spark, sf_dir)
     settings = config.Settings(reads="100R", anchor_length=13, out_mode=mode, lanes=(1, 2), tiles=(1101, 1102, 1103), **more).resolved()
     return reference, index.broadcast(spark, index.build(reference)), settings
 
 
 def _calls(spark, sf_dir):
-    from lanewise.operators import mapping
-
-    reads = derive.reads(spark, sf_dir)
-    calls = mapping.packed_calls(derive.call_array(F.col("seq"), F.col("w")))
-    return reads.select("lane", "tile", "read_no", F.lit(1).alias("mate"), calls.alias("calls"), "barcode")
+    return _whole_reads(spark, sf_dir, "barcode")
 
 
 _RECORD = ("lane", "tile", "read_no", "mate", "cycle", "sample", "rank", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "seq", "qual")
@@ -390,32 +544,27 @@ def window_dedupe(spark, sf_dir):
 
 @query()
 def mate_flags(spark, sf_dir):
-    """Windows 2i and 2i + 1 of a document as the mates of a read, with flags that tell of the other mate."""
+    """Reads 2i and 2i + 1 (windows of a document, or planted ones) as the mates of a read, with flags that tell of the other mate."""
     from lanewise.operators import index, mapping
 
-    reference = derive.reference(spark, sf_dir)
+    reference = derive.with_repeats(spark, sf_dir)
     settings = config.Settings(reads="100R,100R", anchor_length=13, report_unmapped=True).resolved()
     shared = index.broadcast(spark, index.build(reference))
-    one = _calls(spark, sf_dir).withColumn("w", F.col("read_no") % 10000)
-    pairs = one.select("lane", F.lit(1101).alias("tile"), (F.col("read_no") - F.col("w") % 2).alias("read_no"), (F.col("w") % 2 + 1).cast("int").alias("mate"), "calls")
+    odd = F.pmod("read_no", F.lit(2)).cast("int")
+    pairs = _calls(spark, sf_dir).select("lane", F.lit(1101).alias("tile"), (F.col("read_no") - odd).alias("read_no"), (odd + 1).alias("mate"), "calls")
     return mapping.sam(mapping.read_states(pairs, shared, settings), reference, shared, settings).select("read_no", "mate", "flag", "rname", "pos", "rnext", "pnext", "cigar")
 
 
 def _live(cycle):
     def run(spark, sf_dir):
-        import tempfile
         import uuid
 
         from lanewise.streaming import live
 
-        shared_dir = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lanewise-')}"
-        top = f"{shared_dir}/live-{uuid.uuid4().hex}"
+        top = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
         reference, shared, settings = _mapper(spark, sf_dir, "ANYBEST", out_cycles=(50, 100))
         # what a sequencer would write: for each tile and cycle the calls of all its reads, in one order
-        each = _calls(spark, sf_dir).select("lane", "tile", "read_no", "calls", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("cycle"))
-        one = F.struct("read_no", F.hex(F.expr("substring(calls, cycle, 1)")).alias("b"))
-        rows = each.groupBy("lane", "tile", "cycle").agg(F.array_sort(F.collect_list(one)).alias("x"))
-        files = rows.select("lane", "tile", "cycle", F.size("x").cast("long").alias("n"), F.unhex(F.array_join(F.transform("x", lambda x: x["b"]), "")).alias("calls"))
+        files = _tile_cycles(_calls(spark, sf_dir)).select("lane", "tile", "cycle", F.octet_length("calls").cast("long").alias("n"), "calls")
         files.write.parquet(f"{top}/cycles")
         stream = spark.readStream.schema(files.schema).parquet(f"{top}/cycles")
         live.started(live.states_of(stream, shared, settings), f"{top}/states", f"{top}/checkpoint").awaitTermination()
@@ -431,14 +580,12 @@ QUERIES["live_map_cycle50"] = _live(50)
 @query()
 def sam_sink_roundtrip(spark, sf_dir):
     """Records written as SAM text by sample, read back."""
-    import tempfile
     import uuid
 
     from lanewise.operators import mapping
     from lanewise.sources import sam
 
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanewise-")
-    top = f"{named.removeprefix('file://')}/sam-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark).removeprefix('file://')}/sam-{uuid.uuid4().hex}"
     reference, shared, settings = _mapper(spark, sf_dir)
     calls = _calls(spark, sf_dir)
     routed = demux.routed(calls.select("lane", "tile", "read_no", "barcode"), SAMPLES, ERRORS, True).select("lane", "tile", "read_no", codecs.formatted_barcode(F.col("barcode"), [4, 4]).alias("barcode"), "sample")
