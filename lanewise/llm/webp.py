@@ -9,9 +9,10 @@ are read singly.
 from __future__ import annotations
 
 import heapq
-import re
 import struct
-from itertools import repeat
+from bisect import bisect_left
+from functools import cached_property, lru_cache
+from itertools import groupby, repeat
 
 import numpy as np
 
@@ -44,42 +45,46 @@ class Bits:
             raise Bad("the stream ends early")
         return int.from_bytes(self.data[byte : byte + 8], "little") >> ((self.at - n) & 7) & ((1 << n) - 1)
 
-    def long(self, n: int) -> int:
+    def ahead(self, n: int) -> int:
         """The next n bits, without moving on."""
         return int.from_bytes(self.data[self.at >> 3 : (self.at + n + 7) >> 3], "little") >> (self.at & 7) & ((1 << n) - 1)
 
 
-#: Headers of prefix codes that were read before: (cache size, first bits) -> bits, their value, codes.
-_seen: dict[tuple[int, int], tuple[int, int, list]] = {}
+@lru_cache(maxsize=16)
+def _reversed(n: int) -> np.ndarray:
+    """Every number of n bits with its bits in the other order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
 
 
-def _canonical(lengths: list[int]) -> list[tuple[int, int, int]]:
-    """(symbol, length, code as it stands in the stream, lowest bit first) of a complete code."""
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
-    if len(used) == 1:
-        return [(used[0][1], 0, 0)]
-    code, before, out = 0, 0, []
-    for n, s in used:
-        code <<= n - before
-        before = n
-        out.append((s, n, int(f"{code:0{n}b}"[::-1], 2)))
-        code += 1
-    if code != 1 << before:
+def _canonical(lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, lengths and codes as they stand in the stream (lowest bit first) of a complete code, by length; one symbol alone has no bits."""
+    lengths = np.asarray(lengths, np.int64)
+    symbols = np.flatnonzero(lengths)
+    if len(symbols) < 2:
+        return symbols, 0 * symbols, 0 * symbols
+    own = lengths[symbols]
+    order = np.argsort(own, kind="stable")
+    symbols, own = symbols[order], own[order]
+    shares = 1 << 15 - own
+    ends = np.cumsum(shares)
+    if ends[-1] != 1 << 15:
         raise Bad("a prefix code isn't complete")
-    return out
+    return symbols, own, _reversed(15)[ends - shares]
 
 
 class Code:
     """A prefix code as a table over the next ``bits`` bits: symbol << 4 | length."""
 
-    def __init__(self, lengths: list[int]):
-        codes = _canonical(lengths)
-        self.bits = max((n for _, n, _ in codes), default=0)
-        self.table = np.zeros(1 << self.bits, np.int32)
-        for s, n, code in codes:
-            self.table[code :: 1 << n] = s << 4 | n
+    def __init__(self, lengths):
+        symbols, own, _ = _canonical(lengths)
+        self.bits = int(own.max(initial=0))
+        self.table = np.repeat((symbols << 4 | own).astype(np.int32), 1 << self.bits - own) if len(symbols) else np.zeros(1, np.int32)
+        self.table = self.table[_reversed(self.bits)]
         self.lengths = (self.table & 15).astype(np.int64)
-        self.longer = any(s >= 256 for s, _, _ in codes)
+        self.longer = bool((symbols >= 256).any())
 
     def read(self, bits: Bits) -> int:
         if not self.bits:
@@ -89,6 +94,23 @@ class Code:
         return found >> 4
 
 
+def _small_table(lengths: list[int]) -> tuple[list[int], int]:
+    """``Code.table`` and its bits, for the few symbols of code lengths."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) < 2:
+        return [used[0][1] << 4 if used else 0], 0
+    width = used[-1][0]
+    table, code, reverse = [0] * (1 << width), 0, _reversed(width).tolist()
+    for n, s in used:
+        if code >= 1 << width:
+            raise Bad("a prefix code isn't complete")
+        table[reverse[code] :: 1 << n] = [s << 4 | n] * (1 << width - n)
+        code += 1 << width - n
+    if code != 1 << width:
+        raise Bad("a prefix code isn't complete")
+    return table, width
+
+
 def _read_lengths(bits: Bits, alphabet: int) -> tuple[int, ...]:
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
@@ -100,19 +122,29 @@ def _read_lengths(bits: Bits, alphabet: int) -> tuple[int, ...]:
     own = [0] * 19
     for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
         own[k] = bits.read(3)
-    code = Code(own)
+    table, width = _small_table(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     lengths, last = [], 8
+    mask = (1 << width) - 1
+    here = bits.at
+    ahead = int.from_bytes(bits.data[here >> 3 : (here >> 3) + 14 * alphabet // 8 + 16], "little") >> (here & 7)  # 14 bits a symbol at most
     while len(lengths) < alphabet and left:
         left -= 1
-        n = code.read(bits)
+        found = table[ahead & mask]
+        n, used = found >> 4, found & 15
+        ahead >>= used
         if n < 16:
             lengths.append(n)
             last = n or last
-        elif n == 16:
-            lengths += [last] * (3 + bits.read(2))
         else:
-            lengths += [0] * (3 + bits.read(3) if n == 17 else 11 + bits.read(7))
+            value, extra, least = (last, 2, 3) if n == 16 else (0, 3, 3) if n == 17 else (0, 7, 11)
+            lengths += [value] * (least + (ahead & ((1 << extra) - 1)))
+            ahead >>= extra
+            used += extra
+        here += used
+    bits.at = here
+    if here > bits.end:
+        raise Bad("the stream ends early")
     if len(lengths) > alphabet:
         raise Bad("too many code lengths")
     return tuple(lengths + [0] * (alphabet - len(lengths)))
@@ -129,27 +161,22 @@ class _Group:
     """Five prefix codes; for every bit position: where a literal pixel that starts there ends (0: it is no literal)."""
 
     def __init__(self, bits: Bits, cache_size: int):
-        """Reads the codes; the same bits as before for the same alphabets mean the same codes."""
-        at = bits.at
-        first = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 16], "little") >> (at & 7) & ((1 << 96) - 1)
-        if known := _seen.get((cache_size, first)):
-            size, value, codes = known
-            if at + size <= bits.end and bits.long(size) == value:
-                self.codes, bits.at = codes, at + size
-                return
-        made: dict[tuple, Code] = {}
-        self.codes = []
+        made: dict[tuple, Code] = {}  # channels often have the same code
+        self.codes, before, first, size = [], 0, 0, 0
         for alphabet in (256 + LENGTH_CODES + cache_size, 256, 256, 256, DISTANCE_CODES):
+            at = bits.at
+            if alphabet == before and at + size <= bits.end and bits.ahead(size) == first:  # the header of the channel before, bit for bit
+                self.codes.append(self.codes[-1])
+                bits.at += size
+                continue
             lengths = _read_lengths(bits, alphabet)
             key = lengths[:256] if not any(lengths[256:]) else lengths
             if key not in made:
-                made[key] = Code(list(lengths))
+                made[key] = Code(lengths)
             self.codes.append(made[key])
-        if len(_seen) >= 256:
-            _seen.clear()
-        size, bits.at = bits.at - at, at
-        _seen[cache_size, first] = size, bits.long(size), self.codes
-        bits.at = at + size
+            size, bits.at = bits.at - at, at
+            before, first = alphabet, bits.ahead(size)
+            bits.at = at + size
 
     def lookups(self, windows: np.ndarray, n: int) -> None:
         """windows: what follows every bit position; the last 64 serve only to look beyond the n positions asked for."""
@@ -158,13 +185,13 @@ class _Group:
         for code in self.codes[:4]:
             if id(code) not in by_code:
                 index = windows & ((1 << code.bits) - 1)
-                by_code[id(code)] = index, code.lengths[index]
+                by_code[id(code)] = index, code.lengths.take(index)
             index, step = by_code[id(code)]
             self.found.append((code.table, index))
             self.steps.append(step)
         ends = np.arange(n) + self.steps[0][:n]
         for step in self.steps[1:]:
-            ends = ends + step[ends]
+            ends += step.take(ends)
         if self.codes[0].longer:
             ends = np.where(self.codes[0].table[self.found[0][1][:n]] >> 4 < 256, ends, -1)
         self.ends = memoryview(ends)
@@ -261,37 +288,55 @@ def _read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     return literal if not events else _resolve(literal, events, total, cache_bits)
 
 
+def _slots(argb: np.ndarray, cache_bits: int) -> np.ndarray:
+    return (argb * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)
+
+
 def _resolve(literal: np.ndarray, events: list[tuple[int, int, int]], total: int, cache_bits: int) -> np.ndarray:
     """Puts copies and cached colours between the literal pixels."""
+    if cache_bits:
+        return _resolve_cached(literal, events, total, cache_bits)
     out = np.zeros(total, np.uint32)
-    cache = np.zeros(1 << cache_bits, np.uint32)
-    taken = filled = cached = 0
-
-    def remember(end: int) -> int:
-        if cache_bits and end > cached:
-            new = out[cached:end]
-            slots = ((new * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)).astype(np.int64)
-            cache[slots] = new  # of equal slots the last one stays
-        return max(cached, end)
-
+    taken = filled = 0
     for px, n, d in [*events, (total, 0, 0)]:
         out[filled:px] = literal[taken : taken + px - filled]
         taken += px - filled
         filled = px
-        if px == total:
-            break
-        if n:
-            while n:  # a copy that overlaps itself repeats its first d pixels
-                k = min(n, d)
-                out[filled : filled + k] = out[filled - d : filled - d + k]
-                filled, n = filled + k, n - k
-        else:
-            cached = remember(px)
-            out[px] = cache[d]
-            filled = px + 1
+        while n:  # a copy that overlaps itself repeats its first d pixels
+            k = min(n, d)
+            out[filled : filled + k] = out[filled - d : filled - d + k]
+            filled, n = filled + k, n - k
     return out
 
 
+def _resolve_cached(literal: np.ndarray, events: list[tuple[int, int, int]], total: int, cache_bits: int) -> np.ndarray:
+    """With each pixel's slot beside it, since every pixel goes into the cache."""
+    cache = [0] * (1 << cache_bits)
+    literals, places = literal.tolist(), _slots(literal, cache_bits).tolist()
+    out, slots, taken = [], [], 0
+
+    def add(pixels: list[int], where: list[int]) -> None:
+        out.extend(pixels)
+        slots.extend(where)
+        for s, p in zip(where, pixels, strict=True):
+            cache[s] = p
+
+    for px, n, d in [*events, (total, -1, 0)]:
+        k = px - len(out)
+        if k:
+            add(literals[taken : taken + k], places[taken : taken + k])
+            taken += k
+        if n > 0:
+            while n:
+                at = len(out) - d
+                k = min(n, d)
+                add(out[at : at + k], slots[at : at + k])
+                n -= k
+        elif n == 0:
+            add([cache[d]], [(cache[d] * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - cache_bits)])
+    return np.array(out, np.uint32)
+
+
 def _channels(argb: np.ndarray) -> list[np.ndarray]:
     return [(argb >> s & 0xFF).astype(np.int32) for s in (24, 16, 8, 0)]
 
@@ -355,23 +400,28 @@ NO_LEFT = {0, 2, 3, 4, 8, 9}
 
 
 def _undo_predictor(argb: np.ndarray, width: int, height: int, modes: np.ndarray) -> np.ndarray:
-    """modes: of each pixel, shape (height, width)."""
+    """modes: of each pixel, shape (height, width). Whole rows where no pixel looks left, else diagonals x + 2y, whose pixels don't look at one another."""
     image = np.stack(_channels(argb), -1).reshape(height, width, 4)
     image[0, 0] += [255, 0, 0, 0]
     image[0] = np.cumsum(image[0], axis=0) & 0xFF
     image[:, 0] = np.cumsum(image[:, 0], axis=0) & 0xFF
-    for y in range(1, height):
-        row, above = image[y], image[y - 1]
-        right = np.concatenate([above[1:], row[:1]])
-        own = modes[y, 1:]
-        if set(np.unique(own).tolist()) <= NO_LEFT:
-            for m in np.unique(own).tolist():
-                at = np.flatnonzero(own == m) + 1
-                row[at] = (row[at] + _predict(m, None, above[at], above[at - 1], right[at])) & 0xFF
-            continue
-        for x in range(1, width):
-            row[x] = (row[x] + _predict(int(own[x - 1]), row[x - 1], above[x], above[x - 1], right[x])) & 0xFF
-    return _argb(np.moveaxis(image.reshape(-1, 4), -1, 0))
+    # one row after another; the right neighbour above the last pixel of a row is the row's first one
+    flat, own = image.reshape(-1, 4), modes.reshape(-1)
+
+    def undo(at: np.ndarray) -> None:
+        kinds = own[at]
+        for m in np.unique(kinds).tolist():
+            i = at[kinds == m]
+            flat[i] = (flat[i] + _predict(m, flat[i - 1], flat[i - width], flat[i - width - 1], flat[i - width + 1])) & 0xFF
+
+    if set(np.unique(modes[1:, 1:]).tolist()) <= NO_LEFT:
+        for y in range(1, height):
+            undo(np.arange(y * width + 1, (y + 1) * width))
+    else:
+        for t in range(3, width + 2 * height - 2):
+            y = np.arange(max(1, (t - width + 2) // 2), min(height - 1, (t - 1) // 2) + 1)
+            undo(y * width + t - 2 * y)
+    return _argb(np.moveaxis(flat, -1, 0))
 
 
 def _spread(tiles: np.ndarray, bits: int, width: int, height: int) -> np.ndarray:
@@ -398,7 +448,7 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray, int]:
     bits = Bits(data[at + 8 : at + 8 + n])
     if bits.read(8) != 0x2F:
         raise Bad("signature")
-    width, height, alpha = bits.read(14) + 1, bits.read(14) + 1, bits.read(1)
+    width, height, _ = bits.read(14) + 1, bits.read(14) + 1, bits.read(1)  # whether alpha is used is a hint only
     if bits.read(3):
         raise Bad("version")
     undo, now = [], width
@@ -431,9 +481,6 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray, int]:
             index = (green >> (np.arange(1 << per, dtype=np.uint32) * np.uint32(depth)) & ((1 << depth) - 1)).reshape(height, -1)[:, :width_then].reshape(-1)
             argb = np.concatenate([b, np.zeros(256, np.uint32)])[index]
     rgba = np.ascontiguousarray((argb << np.uint32(8) | (argb >> np.uint32(24))).astype(">u4")).view(np.uint8)
-    if not alpha:
-        rgba = rgba.copy()
-        rgba[3::4] = 255
     return width, height, rgba, size + size % 2
 
 
@@ -499,13 +546,8 @@ def _write_lengths(out: Writer, lengths: list[int]) -> None:
         for s in used:
             out.put(s, 8)
         return
-    tokens, i, last = [], 0, 8  # (symbol, extra, extra bits)
-    while i < len(lengths):
-        run = 1
-        while i + run < len(lengths) and lengths[i + run] == lengths[i]:
-            run += 1
-        i += run
-        n = lengths[i - 1]
+    tokens, last = [], 8  # (symbol, extra, extra bits)
+    for n, run in ((n, len(list(same))) for n, same in groupby(lengths)):
         while run:
             if not n and run >= 3:
                 k = min(run, 138)
@@ -518,9 +560,11 @@ def _write_lengths(out: Writer, lengths: list[int]) -> None:
                 tokens.append((n, 0, 0))
                 last = n or last
             run -= k
-    counts = np.bincount([t[0] for t in tokens], minlength=19)
-    own = code_lengths(counts, 7)
-    codes = {s: (n, c) for s, n, c in _canonical(own)}
+    counts = [0] * 19
+    for s, *_ in tokens:
+        counts[s] += 1
+    own = code_lengths(np.array(counts), 7)
+    codes = {s: (n, c) for s, n, c in zip(*(x.tolist() for x in _canonical(own)), strict=True)}
     order = [own[k] for k in CODE_LENGTH_ORDER]
     while len(order) > 4 and not order[-1]:
         order.pop()
@@ -529,10 +573,12 @@ def _write_lengths(out: Writer, lengths: list[int]) -> None:
     for n in order:
         out.put(n, 3)
     out.put(0, 1)
+    value = at = 0
     for s, extra, bits in tokens:
         n, c = codes[s]
-        out.put(c, n)
-        out.put(extra, bits)
+        value |= (c | extra << n) << at
+        at += n + bits
+    out.put(value, at)
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -559,74 +605,195 @@ def _pack(codes: np.ndarray, lengths: np.ndarray, before: int = 0) -> tuple[np.n
     return packed[: total + 7 >> 3].astype(np.uint8), total
 
 
-def _write_pixels(out: Writer, argb: np.ndarray, width: int, top: bool, cache_bits: int = 0, copies: bool = False) -> None:
-    """An entropy-coded image; one prefix code serves all four channels where there are literals only."""
-    out.put(1 if cache_bits else 0, 1)
-    if cache_bits:
-        out.put(cache_bits, 4)
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places by key and place, and whether each but the first has the key of the one before; of a key the upper 44 bits count, mixed."""
+    low = np.uint64(20)  # an image has fewer pixels
+    mixed = key * np.uint64(0xD6E8FEB86659FD93) >> low << low
+    order = np.sort(mixed | np.arange(len(key), dtype=np.uint64))
+    same = order[1:] >> low == order[:-1] >> low
+    return (order & np.uint64((1 << 20) - 1)).astype(np.int64), same
+
+
+def _repeats(x: np.ndarray) -> int:
+    """How many values occurred before."""
+    x = np.sort(x)
+    return int(np.count_nonzero(x[1:] == x[:-1]))
+
+
+def _copies(argb: np.ndarray, least: int = 3, most: int = 4096) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of runs that stand at an earlier place too, from the first on; the latest earlier place of ``least`` pixels counts."""
+    n = len(argb) - least + 1
+    if n < 2:
+        return []
+    wide = argb.astype(np.uint64)
+    key = wide[:n]
+    for k in range(1, least):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + wide[k : n + k]
+    order, same = _groups(key)
+    at, source = order[1:][same], order[:-1][same]
+    for k in range(least):  # equal keys are nearly always equal pixels
+        fine = argb[at + k] == argb[source + k]
+        at, source = at[fine], source[fine]
+    by_place = np.argsort(at)
+    at, source = at[by_place], source[by_place]
+    out, i, places, sources = [], 0, at.tolist(), source.tolist()
+    while i < len(places):
+        p, q, length, step = places[i], sources[i], least, 32
+        while length < most and p + length < len(argb):
+            step = min(step, len(argb) - p - length, most - length)
+            differ = np.flatnonzero(argb[p + length : p + length + step] != argb[q + length : q + length + step])
+            if len(differ):
+                length += int(differ[0])
+                break
+            length, step = length + step, 2 * step
+        out.append((p, length, p - q))
+        i = bisect_left(places, p + length, i + 1)
+    return out
+
+
+#: n log2 n.
+_WEIGHT = np.arange(1 << 16) * np.log2(np.maximum(np.arange(1 << 16), 1))
+
+
+def _bits_of(counts: np.ndarray) -> float:
+    """About how many bits the symbols take with a code of their own, and its header."""
+    n = int(counts.sum())
+    if n >= len(_WEIGHT):
+        used = counts[counts > 0]
+        return float((used * np.log2(n / used)).sum()) + 5 * len(used)
+    return float(_WEIGHT[n] - _WEIGHT[counts].sum()) + 5 * int(np.count_nonzero(counts))
+
+
+def _shared_bits(every: np.ndarray) -> float:
+    """With one code for all channels, which is written four times; counts of all samples."""
+    return _bits_of(every) + 15 * int(np.count_nonzero(every))
+
+
+def _literal_bits(argb: np.ndarray) -> float:
+    """About what the pixels take as literals, with one code for all channels or one for green."""
+    samples = argb.view(np.uint8)
+    every, green = np.bincount(samples, minlength=256), np.bincount(samples[1::4], minlength=256)
+    rest = every - green
+    return min(_shared_bits(every), _bits_of(green) + _bits_of(rest) + 10 * int(np.count_nonzero(rest)))
+
+
+class _Tokens:
+    """What stands for the pixels of an image: literals, cache codes and copies."""
+
+    def __init__(self, argb: np.ndarray, width: int, copies: list[tuple[int, int, int]], cache_bits: int):
+        self.n, self.copies, self.cache_bits, self.cached = len(argb), copies, cache_bits, np.zeros(0, np.int64)
+        single = np.ones(len(argb), bool)
+        for p, n, _ in copies:
+            single[p : p + n] = False
+        hit = np.zeros(len(argb), bool)
+        if cache_bits:
+            slots = _slots(argb, cache_bits).astype(np.int64)
+            order = np.sort(slots << 20 | np.arange(len(argb))) & ((1 << 20) - 1)
+            again = (slots[order[1:]] == slots[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+            hit[order[1:][again]] = True  # what went into the slot last is this pixel
+            self.cached = np.flatnonzero(single & hit)
+            self.slots = slots[self.cached]
+        self.literal = np.flatnonzero(single & ~hit)
+        near = {max(1, x + y * width): k for k, (x, y) in reversed(list(enumerate(OFFSETS, 1)))} if copies else {}
+        self.places = np.array([p for p, *_ in copies], np.int64)
+        self.lengths = np.array([_prefix_of(n) for _, n, _ in copies], np.int64).reshape(-1, 3)
+        self.distances = np.array([_prefix_of(near.get(d, d + NEAR)) for *_, d in copies], np.int64).reshape(-1, 3)
+        g, r, b, a = (argb[self.literal] >> np.uint32(s) & np.uint32(0xFF) for s in (8, 16, 0, 24))
+        self.samples = [x.astype(np.int64) for x in (g, r, b, a)]
+        green = np.bincount(self.samples[0], minlength=256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0))
+        green += np.bincount(256 + self.lengths[:, 0], minlength=len(green))
+        if cache_bits:
+            green += np.bincount(256 + LENGTH_CODES + self.slots, minlength=len(green))
+        # the other channels' codes are one, made for all of them
+        rest = sum(np.bincount(x, minlength=256) for x in self.samples[1:])
+        self.counts = [green, rest, np.bincount(self.distances[:, 0], minlength=DISTANCE_CODES)]
+
+    @cached_property
+    def size(self) -> float:
+        """In bits, about."""
+        extra = int(self.lengths[:, 2].sum() + self.distances[:, 2].sum())
+        headers = 2 * 5 * int(np.count_nonzero(self.counts[1]))  # the code of three channels is written three times
+        return sum(map(_bits_of, self.counts)) + headers + extra
+
+    def _mixed(self, tables: list[np.ndarray]) -> np.ndarray:
+        """Codes and their lengths in their order: a literal has four, a copy five, a cached colour one."""
+        each = np.zeros(self.n, np.int64)
+        each[self.literal], each[self.cached], each[self.places] = 4, 1, 5
+        ends = np.cumsum(each)
+        begin = ends - each
+        codes = np.zeros((int(ends[-1]), 2), np.int64)
+        at = begin[self.literal]
+        for nth, x in enumerate(self.samples):
+            codes[at + nth] = tables[min(nth, 1)][x]
+        if self.cache_bits:
+            codes[begin[self.cached]] = tables[0][256 + LENGTH_CODES + self.slots]
+        if len(self.places):
+            at, low = begin[self.places], np.minimum(self.distances[:, 2], 12)
+            codes[at] = tables[0][256 + self.lengths[:, 0]]
+            codes[at + 1] = self.lengths[:, 1:]
+            codes[at + 2] = tables[2][self.distances[:, 0]]
+            codes[at + 3] = np.stack([self.distances[:, 1] & ((1 << low) - 1), low], 1)
+            codes[at + 4] = np.stack([self.distances[:, 1] >> low, self.distances[:, 2] - low], 1)
+        return codes
+
+    def write(self, out: Writer) -> None:
+        every = self.counts[0][:256] + self.counts[1]
+        if not len(self.places) and not self.cache_bits and _shared_bits(every) < self.size:
+            rest = code_lengths(every, 15)
+            lengths = [rest + [0] * LENGTH_CODES, rest, [0] * DISTANCE_CODES]
+        else:
+            lengths = [code_lengths(c, 15) for c in self.counts]
+        tables = []
+        for own, times in zip(lengths, (1, 3, 1), strict=True):
+            head = Writer()
+            _write_lengths(head, own)
+            for _ in range(times):
+                out.put(head.value, head.n)
+            table = np.zeros((len(own), 2), np.int64)
+            symbols, sizes, codes = _canonical(own)
+            table[symbols] = np.stack([codes, sizes], 1)
+            tables.append(table)
+        if len(self.literal) == self.n:
+            codes = np.stack([tables[min(nth, 1)][x] for nth, x in enumerate(self.samples)], 1).reshape(-1, 2)
+        else:
+            codes = self._mixed(tables)
+        packed, n = _pack(codes[:, 0], codes[:, 1])
+        out.put(int.from_bytes(packed.tobytes(), "little"), n)
+
+
+#: Size of the colour cache in bits, and the share of an image's bits that back-references must save to be used; a cache three times that, as each cached colour is read singly.
+CACHE_BITS, SAVES = 9, 0.04
+
+
+def _best_tokens(argb: np.ndarray, width: int) -> _Tokens:
+    """With back-references and a colour cache where each saves enough, by estimates."""
+    tokens, least = None, _literal_bits(argb)
+    copies = _copies(argb)
+    # a copy takes some 24 bits in place of its pixels' share
+    if sum(n for _, n, _ in copies) * least / len(argb) - 24 * len(copies) > SAVES * least:
+        tokens = _Tokens(argb, width, copies, 0)
+        tokens, least = (tokens, tokens.size) if tokens.size < (1 - SAVES) * least else (None, least)
+    tokens = tokens or _Tokens(argb, width, [], 0)
+    # a pixel that was there before takes some ten bits less from the cache
+    if 10 * _repeats(argb[tokens.literal]) > 3 * SAVES * least:
+        cached = _Tokens(argb, width, tokens.copies, CACHE_BITS)
+        if cached.size < (1 - 3 * SAVES) * least:
+            tokens = cached
+    return tokens
+
+
+def _write_pixels(out: Writer, argb: np.ndarray, width: int, top: bool, cache_bits: int = 0, copies: bool = False, best: bool = False) -> None:
+    """An entropy-coded image; ``best``: with what makes it smaller."""
+    tokens = _best_tokens(argb, width) if best else _Tokens(argb, width, _copies(argb) if copies else [], cache_bits)
+    out.put(1 if tokens.cache_bits else 0, 1)
+    if tokens.cache_bits:
+        out.put(tokens.cache_bits, 4)
     if top:
         out.put(0, 1)
-    g, r, b, a = (argb >> s & 0xFF for s in (8, 16, 0, 24))
-    alphabet = 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0)
-    if not cache_bits and not copies:
-        samples = np.stack([g, r, b, a], 1).reshape(-1).astype(np.int64)
-        lengths = code_lengths(np.bincount(samples, minlength=256), 11)
-        _write_lengths(out, lengths + [0] * LENGTH_CODES)
-        for _ in range(3):
-            _write_lengths(out, lengths)
-        _write_lengths(out, [0] * DISTANCE_CODES)
-        codes = np.zeros((256, 2), np.int64)
-        for s, n, c in _canonical(lengths):
-            codes[s] = c, n
-        packed, n = _pack(codes[samples, 0], codes[samples, 1])
-        out.put(int.from_bytes(packed.tobytes(), "little"), n)
-        return
-    tokens = list(_tokens(argb.tolist(), width, cache_bits, copies))
-    counts = [np.zeros(n, np.int64) for n in (alphabet, 256, 256, 256, DISTANCE_CODES)]
-    for token in tokens:
-        for k, s, *_ in token:
-            counts[k][s] += 1
-    codes = []
-    for c in counts:
-        lengths = code_lengths(c, 15)
-        _write_lengths(out, lengths)
-        codes.append({s: (n, code) for s, n, code in _canonical(lengths)} if any(lengths) else {})
-    for token in tokens:
-        for k, s, extra, bits in token:
-            n, code = codes[k][s]
-            out.put(code, n)
-            out.put(extra, bits)
-
-
-def _tokens(argb: list[int], width: int, cache_bits: int, copies: bool):
-    """Literals, cache codes and copies, as lists of (code, symbol, extra, extra bits)."""
-    slot = lambda p: (p * CACHE_MULTIPLIER & 0xFFFFFFFF) >> (32 - cache_bits)
-    near = {max(1, x + y * width): k for k, (x, y) in reversed(list(enumerate(OFFSETS, 1)))}
-    cache, seen, i = {}, {}, 0
-    while i < len(argb):
-        n, key = 0, tuple(argb[i : i + 3])
-        if copies and len(key) == 3 and (j := seen.get(key)) is not None:
-            while i + n < len(argb) and n < 4096 and argb[j + n] == argb[i + n]:
-                n += 1
-        if n >= 3:
-            d = near.get(i - j, i - j + NEAR)
-            p, extra, bits = _prefix_of(n)
-            q, extra2, bits2 = _prefix_of(d)
-            yield [(0, 256 + p, extra, bits), (4, q, extra2, bits2)]
-        else:
-            n, p = 1, argb[i]
-            if cache_bits and cache.get(slot(p), 0) == p:
-                yield [(0, 256 + LENGTH_CODES + slot(p), 0, 0)]
-            else:
-                yield [(0, p >> 8 & 255, 0, 0), (1, p >> 16 & 255, 0, 0), (2, p & 255, 0, 0), (3, p >> 24, 0, 0)]
-        for k in range(i, i + n):
-            seen[tuple(argb[k : k + 3])] = k
-            if cache_bits:
-                cache[slot(argb[k])] = argb[k]
-        i += n
+    tokens.write(out)
 
 
-def encode(rgba: np.ndarray, width: int, height: int, *, predictor: int | None = None, cross_colour: tuple[int, int, int] | None = None, subtract_green: bool = False, palette: bool = False, cache_bits: int = 0, copies: bool = False) -> bytes:
+def encode(rgba: np.ndarray, width: int, height: int, *, predictor: int | None = None, cross_colour: tuple[int, int, int] | None = None, subtract_green: bool = False, palette: bool = False, cache_bits: int = 0, copies: bool = False, best: bool = False) -> bytes:
     """One image. The transforms are applied in the order predictor, cross-colour, subtract green; a palette goes first."""
     four = rgba.reshape(-1, 4).astype(np.uint32)
     argb = four[:, 3] << 24 | four[:, 0] << 16 | four[:, 1] << 8 | four[:, 2]
@@ -677,7 +844,7 @@ def encode(rgba: np.ndarray, width: int, height: int, *, predictor: int | None =
         out.put(1 | SUBTRACT_GREEN << 1, 3)
         argb = _subtract_green(argb, -1)
     out.put(0, 1)
-    _write_pixels(out, argb, now, True, cache_bits, copies)
+    _write_pixels(out, argb, now, True, cache_bits, copies, best)
     return _file(out.value.to_bytes(-(-out.n // 8), "little"))
 
 
@@ -691,67 +858,37 @@ OFFSETS = _near_offsets()
 # ---- storing bytes ----
 
 WIDTH = 16
-#: Letters per thousand letters in four languages' usual prose, rounded.
-USUAL = {
-    "en": "e127 t91 a82 o75 i70 n67 s63 h61 r60 d43 l40 c28 u28 m24 w24 f22 g20 y20 p19 b15 v10 k8 j2 x2 q1 z1",
-    "fr": "e147 s79 a76 i75 t72 n71 r66 u63 l55 o54 d37 c33 p30 m30 \u00e919 v16 q14 f11 b9 g9 h7 j6 \u00e05 x4 \u00e83 y3 \u00ea2 z1 w1 \u00e71",
-    "de": "e164 n98 s73 r70 i66 t62 d51 h46 u42 a65 l34 c27 g30 m25 o26 b19 w19 f17 k14 z11 p7 v8 \u00fc7 \u00e46 \u00df3 \u00f64 j3 y1 x1 q1",
-    "es": "e122 a115 o87 s80 n67 r69 i62 l50 d50 t46 c40 u29 m32 p25 b22 g18 v11 y10 q9 h7 f7 z5 j5 \u00f37 \u00ed7 \u00e15 \u00e94 \u00f13 x2 k1 w1",
-}
-#: Other characters per thousand letters.
-BESIDES = " 210 .14 ,14 \n4 -3 '3"
-
-
-class Preset:
-    """A prefix code that is known beforehand: its header is made once, and a decoder that has read it once knows it."""
-
-    def __init__(self, usual: str):
-        counts = np.ones(256, np.int64)
-        for part in usual.split(" ") + re.findall(r"[^0-9][0-9]+", BESIDES):
-            for byte in part[0].encode():
-                counts[byte] += 16 * int(part[1:])
-            if part[0].isascii() and part[0].isalpha():
-                counts[ord(part[0].upper())] += int(part[1:]) // 2
-        self.lengths = code_lengths(counts, 13)
-        self.code = np.zeros(256, np.int64)
-        self.length = np.array(self.lengths, np.int64)
-        for s, _, c in _canonical(self.lengths):
-            self.code[s] = c
-        self.header = Writer()
-        self.header.put(0, 3)  # no colour cache, no groups; before it: no transform
-        _write_lengths(self.header, self.lengths + [0] * LENGTH_CODES)
-        for _ in range(3):
-            _write_lengths(self.header, self.lengths)
-        _write_lengths(self.header, [0] * DISTANCE_CODES)
-
-
-_presets: list[Preset] = []
+def _best_transform(samples: np.ndarray) -> dict:
+    """The transform with which the pixels of an image of WIDTH columns take fewest bits as literals, by estimates."""
+    four = samples.reshape(-1, 4).astype(np.uint32)
+    argb = four[:, 3] << 24 | four[:, 0] << 16 | four[:, 1] << 8 | four[:, 2]
+    above = np.concatenate([np.zeros(WIDTH, np.uint32), argb[:-WIDTH]])
+    steps = (argb.view(np.uint8) - above.view(np.uint8)).view(np.uint32)
+    tried = []
+    # a transform can help where it makes many zeros
+    if 8 * np.count_nonzero(steps.view(np.uint8) == 0) > len(samples):
+        tried.append(({"predictor": 2}, steps, 100))
+    if 8 * sum(np.count_nonzero(samples[c::4] == samples[1::4]) for c in (0, 2)) > len(samples) // 2:
+        tried.append(({"subtract_green": True}, _subtract_green(argb, -1), 8))
+    if _repeats(argb[:128]) >= len(argb[:128]) // 2 and len(colours := np.unique(argb)) <= min(256, len(argb) // 4):
+        per = _palette_bits(len(colours))
+        index = np.searchsorted(colours, argb).astype(np.uint32).reshape(-1, WIDTH >> per, 1 << per)
+        bundled = (index << (np.arange(1 << per, dtype=np.uint32) * np.uint32(8 >> per))).sum(-1, dtype=np.uint32).reshape(-1)
+        tried.append(({"palette": True}, bundled << np.uint32(8) | np.uint32(0xFF000000), 20 * len(colours) + 60))
+    form, least = {}, (1 - SAVES) * _literal_bits(argb) if tried else 0.0
+    for more, changed, header in tried:
+        if (bits := _literal_bits(changed) + header) < least:
+            form, least = more, bits
+    return form
 
 
 def store(payload: bytes) -> bytes:
     """Images of WIDTH columns, one after another, whose RGBA samples are the payload (a multiple of 4 * WIDTH bytes).
 
-    An image has a preset code or one of its own, whichever makes it smaller a code of its own where that saves a fifth.
+    Each has the transform, back-references and colour cache that make it smaller, by estimates.
     """
-    if not _presets:
-        _presets.extend(map(Preset, USUAL.values()))
     out = []
     for at in range(0, len(payload), 4 * WIDTH * MAX_SIDE):
         samples = np.frombuffer(payload[at : at + 4 * WIDTH * MAX_SIDE], np.uint8)
-        rows = len(samples) // (4 * WIDTH)
-        counts = np.bincount(samples, minlength=256)
-        used = counts[counts > 0]
-        own = float((used * np.log2(len(samples) / used)).sum()) + 4 * 6 * len(used)  # the entropy and about what a header takes
-        preset = min(_presets, key=lambda p: int(counts @ p.length))
-        if own < 0.8 * (int(counts @ preset.length) + preset.header.n):
-            out.append(encode(samples, WIDTH, rows))
-            continue
-        head = Writer()
-        for value, n in ((0x2F, 8), (WIDTH - 1, 14), (rows - 1, 14), (1, 1), (0, 3), (preset.header.value, preset.header.n)):
-            head.put(value, n)
-        four = samples.reshape(-1, 4)[:, [1, 0, 2, 3]].reshape(-1)  # as codes come: green, red, blue, alpha
-        packed, total = _pack(preset.code[four], preset.length[four], head.n)
-        first = np.frombuffer(head.value.to_bytes(head.n + 7 >> 3, "little"), np.uint8)
-        packed[: len(first)] |= first
-        out.append(_file(packed.tobytes()))
+        out.append(encode(samples, WIDTH, len(samples) // (4 * WIDTH), best=True, **_best_transform(samples)))
     return b"".join(out)
