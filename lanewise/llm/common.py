@@ -40,13 +40,28 @@ def cut_all(frames: Iterable[DataFrame], name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def written() -> int:
+    """How many tables have been written and not deleted so far; for ``forget``."""
+    return len(_written)
+
+
+def forget(since: int) -> None:
+    """Deletes the tables written after the first ``since``, but for the last one, which must not be computed from them any more."""
+    for spark, path in _written[since:-1]:
+        _delete(spark, path)
+    del _written[since:-1]
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before
             pass
     _written.clear()
@@ -56,10 +71,14 @@ def _remove() -> None:
 HOT_KEYS, HOT_ROWS = 100_000, 1_000
 
 
-def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame | None:
-    """The keys that have more than one in ``HOT_KEYS`` of all rows (and over ``HOT_ROWS``), so at most ``HOT_KEYS`` of them; None without any."""
+def hot_keys(rows: DataFrame, on: list[str], counts: DataFrame | None = None) -> DataFrame | None:
+    """The keys that have more than one in ``HOT_KEYS`` of all rows (and over ``HOT_ROWS``), so at most ``HOT_KEYS`` of them; None without any.
+
+    counts: the keys with n, how many rows each has, if that is known (keys of a single row may be missing).
+    """
     most = max(HOT_ROWS, rows.count() // HOT_KEYS)
-    hot = cut(rows.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*on), "hot")
+    counts = counts if counts is not None else rows.groupBy(*on).agg(F.count("*").alias("n"))
+    hot = cut(counts.where(F.col("n") > most).select(*on), "hot")
     return None if hot.isEmpty() else hot
 
 
@@ -80,9 +99,22 @@ def joined(rows: DataFrame, by_key: DataFrame, on: list[str], how: str = "inner"
 OWN = "_lw_"
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether a frame is files, columns and conditions only, whose rows come in one order whenever it is computed."""
+    nodes = [df._jdf.queryExecution().analyzed()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name not in ("Project", "Filter", "SubqueryAlias") and not (name.startswith("Relation") or name == "LogicalRelation"):
+            return False
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return True
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Adds a number of its own to every row: its place in a table as it is read; cut the result of anything else before it is used twice."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Adds a number of its own to every row, the same whenever it is computed: its place in a table as it is read; anything else is written first."""
+    return (df if _is_scan(df) else cut(df, "numbered")).withColumn(name, F.monotonically_increasing_id())
 
 
 def text_or_empty(df: DataFrame, column: str = "text"):
