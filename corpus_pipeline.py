@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir), docs as read from Parquet, and all but the last return the columns of
 docs. ``run`` writes each stage's result to the shared folder and reads it back as the next one's docs.
+
+Texts that are null or have no letter are in no language and go in the first stage; given to a later one, a
+null text stays null (personal data), is a component of its own (near-duplicates) and counts no token (mixture,
+packing). Of repeated rows one remains after near-duplicates; in any other stage each is a document. Any column
+may be null or have an operator's name, long texts are taken whole, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.llm import language_id, mixing, near_dup, packing, pii
-from lanewise.llm.common import cut, table
+from lanewise.llm.common import cut, forget, table, written
 
 #: No document is left out by the mixture: the budget covers each source once, and none more than so often.
 REPETITIONS = 1.5
@@ -53,9 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, f"stage{k}")
+            forget(before)  # all that this stage was made of
     return docs
