@@ -1,8 +1,10 @@
-"""Command lines: build-index, map (live or what is there), output (records of a kept cycle again), simulate.
+"""Command lines: build-index, map (live or what is there), output (records of a kept cycle again), simulate, replay.
 
     python -m lanewise.cli build-index --input genome.fa --out-prefix index
     python -m lanewise.cli map --bcl-dir BaseCalls --index index --reads 100R,8B,100R [--config run.ini] [--live]
     python -m lanewise.cli output --config out/run.ini --index index --out-cycles 50
+    python -m lanewise.cli simulate --fastq reads.fq --root run [--failing 0.1 --noise 100]
+    python -m lanewise.cli replay --root run --target BaseCalls --reads 100R,8B,100R --speedup 1000
 
 Options have the names of the settings (config.Settings), with dashes; those of the command line win over the
 config file, that over RunInfo, that over the defaults.
@@ -11,6 +13,7 @@ config file, that over RunInfo, that over the defaults.
 from __future__ import annotations
 
 import argparse
+import sys
 import uuid
 from dataclasses import fields, replace
 from pathlib import Path
@@ -44,6 +47,9 @@ def settings_of(args: argparse.Namespace) -> config.Settings:
     line = {k: v for k, v in vars(args).items() if k in known and v is not None}
     ini = config.read_ini(Path(args.config).read_text()) if args.config else {}
     info = config.read_run_info(Path(args.runinfo).read_text()) if args.runinfo else {}
+    for name in config.WITHOUT_EFFECT:
+        if name in line:
+            print(f"--{name.replace('_', '-')} has no effect here", file=sys.stderr)
     merged = config.merged(line, ini, info)
     for name in ("bcl_dir", "index"):
         if not getattr(merged, name):
@@ -85,6 +91,9 @@ def map_run(spark: SparkSession, merged: config.Settings, live_: bool) -> list[s
         if live_:
             raise index.TooLarge("a reference of several shards is mapped when the run is there, not live")
         return map_shards(spark, settings, reference)
+    if live_:
+        bcl.await_lanes(settings.bcl_dir, settings.lanes)
+        spark.streams.addListener(live.Progress())
     query = live.run(spark, settings.bcl_dir, shared, settings, f"{settings.temp_dir}/states", f"{settings.temp_dir}/checkpoint", available_now=not live_)
     query.awaitTermination()
     return output(spark, settings, reference, shared)
@@ -144,9 +153,22 @@ def main(argv: list[str] | None = None) -> None:
     make.add_argument("--root", required=True)
     make.add_argument("--lane", type=int, default=1)
     make.add_argument("--tiles", default="1101")
+    make.add_argument("--failing", type=float, default=0.0, help="share of reads that the filter fails")
+    make.add_argument("--noise", type=int, default=0, help="reads of random bases mixed in")
+    make.add_argument("--seed", type=int, default=0)
+    again = commands.add_parser("replay", help="copies a run cycle by cycle at the pace of a machine")
+    again.add_argument("--root", required=True)
+    again.add_argument("--target", required=True)
+    again.add_argument("--reads", required=True)
+    again.add_argument("--machine", default=next(iter(bcl.MACHINES)), choices=list(bcl.MACHINES))
+    again.add_argument("--speedup", type=float, default=1.0)
     args = parser.parse_args(argv)
     if args.command == "simulate":
-        print(bcl.fastq_to_run(Path(args.fastq).read_text(), args.root, args.lane, config.parse_numbers(args.tiles)))
+        print(bcl.fastq_to_run(Path(args.fastq).read_text(), args.root, args.lane, config.parse_numbers(args.tiles), args.failing, args.noise, args.seed))
+        return
+    if args.command == "replay":
+        pace = bcl.delays([s.length for s in config.parse_reads(args.reads)], args.machine, args.speedup)
+        bcl.replayed(args.root, args.target, lambda cycle: pace[cycle - 1])
         return
     spark = SparkSession.builder.appName("lanewise").getOrCreate()
     if args.command == "build-index":

@@ -150,6 +150,10 @@ def default_min_score(length: int, mode: str, scores: Scores) -> int:
     return int(length * scores.match - length * _ERROR_RATE[mode] * scores.largest_penalty)
 
 
+#: Settings that are read and kept, and change nothing: Spark deals out work and memory, and nothing is dropped for a base's quality.
+WITHOUT_EFFECT = ("min_basecall_quality", "force_resort", "block_size", "compression", "num_threads", "num_out_threads")
+
+
 @dataclass(frozen=True)
 class Settings:
     """Everything a run is told, with the derived defaults filled in by ``resolved``."""
@@ -216,6 +220,8 @@ class Settings:
             raise SettingError(f"md_style {self.md_style} isn't there, only compact")
         if self.keep_invalid_sequences:
             raise SettingError("keep_invalid_sequences isn't there: sequences of invalid reads aren't kept")
+        if self.continue_from != 1:
+            raise SettingError("continue isn't there: a run that is mapped again goes on from its checkpoint")
         mode = parse_align_mode(self.align_mode)
         k = self.anchor_length or default_anchor(self.genome_size, mode)
         s, first = self.scores, mates[0].length

@@ -120,13 +120,26 @@ def tag_map(score: Column, barcode: Column, nm: Column, md: Column) -> Column:
     return F.when(F.coalesce(barcode, F.lit("")) != "", full).otherwise(F.create_map(F.lit("AS"), text(score), F.lit("NM"), text(nm), F.lit("MD"), md))
 
 
+_CODE = "CASE upper(base) WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 3 END"
+
+#: name -> (arguments, type, what it stands for), of the functions above.
 SQL_FUNCTIONS = {
-    "lw_reverse_complement": ("seq STRING", "STRING", "reverse(translate(regexp_replace(upper(seq), '[^ACGT]', 'N'), 'ACGT', 'TGCA'))"),
     "lw_base": ("b INT", "STRING", "CASE WHEN b < 4 THEN 'N' ELSE substring('ACGT', (b & 3) + 1, 1) END"),
     "lw_quality": ("b INT", "STRING", "char(33 + shiftright(b, 2))"),
+    "lw_code": ("base STRING", "INT", _CODE),
+    "lw_call": ("base STRING, quality INT", "INT", f"CASE WHEN upper(base) IN ('A', 'C', 'G', 'T') THEN quality * 4 + {_CODE} ELSE 0 END"),
+    "lw_complement": ("seq STRING", "STRING", "translate(regexp_replace(upper(seq), '[^ACGT]', 'N'), 'ACGT', 'TGCA')"),
+    "lw_reverse_complement": ("seq STRING", "STRING", "reverse(translate(regexp_replace(upper(seq), '[^ACGT]', 'N'), 'ACGT', 'TGCA'))"),
+    "lw_reverse_md": ("md STRING", "STRING", "array_join(transform(reverse(regexp_extract_all(md, '([0-9]+|[A-Z])', 1)), r -> translate(r, 'ACGT', 'TGCA')), '')"),
+    "lw_barcode": ("barcode STRING, lengths ARRAY<INT>", "STRING", "array_join(filter(transform(lengths, (n, i) -> substring(barcode, 1 + aggregate(slice(lengths, 1, i), 0, (a, x) -> a + x), n)), p -> p <> ''), '-')"),
     "lw_read_name": ("lane INT, tile INT, read_no BIGINT", "STRING", "concat('lane.', lane, '|tile.', tile, '|read.', read_no)"),
     "lw_mate_cycle": ("cycle INT, start INT, length INT", "INT", "least(length, greatest(0, cycle - start + 1))"),
-    "lw_reverse_md": ("md STRING", "STRING", "array_join(transform(reverse(regexp_extract_all(md, '([0-9]+|[A-Z])', 1)), r -> translate(r, 'ACGT', 'TGCA')), '')"),
+    "lw_is_seeding_cycle": ("cycle INT, anchor INT, interval INT, most INT", "BOOLEAN", "cycle >= anchor AND cycle - anchor <= most AND (cycle - anchor) % interval = 0"),
+    "lw_tile_numbers": ("surfaces INT, swaths INT, tiles INT", "ARRAY<INT>", "flatten(transform(sequence(1, surfaces), s -> flatten(transform(sequence(1, swaths), w -> transform(sequence(1, tiles), t -> s * 1000 + w * 100 + t)))))"),
+    "lw_with_flag": ("flags INT, bit INT", "INT", "flags | bit"),
+    "lw_without_flag": ("flags INT, bit INT", "INT", "flags & ~bit"),
+    "lw_has_flag": ("flags INT, bit INT", "BOOLEAN", "(flags & bit) <> 0"),
+    "lw_mapq": ("p DOUBLE", "INT", "CASE WHEN p <= 0.1 THEN 0 WHEN p <= 0.29 THEN 1 WHEN p <= 0.435 THEN 2 WHEN p <= 0.55 THEN 3 ELSE CAST(floor(-10 * log10(1 - least(p, 0.99993D)) + 0.5) AS INT) END"),
 }
 
 

@@ -185,6 +185,22 @@ def tile_layout(spark, sf_dir):
     return spark.range(1).select(F.explode(codecs.tile_numbers(F.lit(2), F.lit(3), F.lit(16))).alias("tile"))
 
 
+@query(with_tables("reads") + """SELECT read_no, reverse(translate(seq, 'ACGT', 'TGCA')) AS reversed, translate(substr(seq, 1, 9), 'ACGT', 'TGCA') AS complement, CAST(instr('ACG', substr(seq, 1, 1)) + CASE WHEN substr(seq, 1, 1) = 'T' THEN 4 ELSE 0 END - 1 AS INTEGER) AS code,
+    CAST(n % 40 * 4 + instr('ACGT', substr(seq, 2, 1)) - 1 AS INTEGER) AS call, CASE WHEN n % 40 = 0 THEN 'N' ELSE substr(seq, 2, 1) END AS base, chr(CAST(33 + n % 40 AS INTEGER)) AS quality,
+    substr(barcode, 1, 4) || '-' || substr(barcode, 5, 2) AS barcode, 'lane.' || lane || '|tile.' || tile || '|read.' || read_no AS name, CAST(least(100, greatest(0, n % 300 - 108)) AS INTEGER) AS done,
+    n % 100 >= 13 AND n % 100 <= 63 AND (n % 100 - 13) % 6 = 0 AS seeding, CAST((n % 4096) | 16 AS INTEGER) AS turned, CAST((n % 4096) & 4079 AS INTEGER) AS forward, (n & 16) <> 0 AS is_reverse,
+    CASE WHEN n % 1000 <= 100 THEN 0 WHEN n % 1000 <= 290 THEN 1 WHEN n % 1000 <= 435 THEN 2 WHEN n % 1000 <= 550 THEN 3 ELSE CAST(floor(-10 * log10(1 - least(n % 1000 / 1000.0, 0.99993)) + 0.5) AS INTEGER) END AS mapq
+FROM (SELECT *, abs(read_no) AS n FROM reads)""")
+def sql_functions(spark, sf_dir):
+    """The scalar functions that ``codecs.register`` makes, called from SQL."""
+    codecs.register(spark)
+    derive.reads(spark, sf_dir).createOrReplaceTempView("lw_reads")
+    return spark.sql("""SELECT read_no, lw_reverse_complement(lower(seq)) AS reversed, lw_complement(substr(seq, 1, 9)) AS complement, lw_code(lower(substr(seq, 1, 1))) AS code, lw_call(substr(seq, 2, 1), CAST(n % 40 AS INT)) AS call,
+        lw_base(lw_call(substr(seq, 2, 1), CAST(n % 40 AS INT))) AS base, lw_quality(lw_call(substr(seq, 2, 1), CAST(n % 40 AS INT))) AS quality, lw_barcode(substr(barcode, 1, 6), array(4, 4)) AS barcode,
+        lw_read_name(lane, tile, read_no) AS name, lw_mate_cycle(CAST(n % 300 AS INT), 109, 100) AS done, lw_is_seeding_cycle(CAST(n % 100 AS INT), 13, 6, 50) AS seeding, lw_with_flag(CAST(n % 4096 AS INT), 16) AS turned,
+        lw_without_flag(CAST(n % 4096 AS INT), 16) AS forward, lw_has_flag(CAST(n % 4096 AS INT), 16) AS is_reverse, lw_mapq(n % 1000 / 1000D) AS mapq FROM (SELECT *, abs(read_no) AS n FROM lw_reads)""")
+
+
 # ---- strands, k-mers, placements ----
 
 

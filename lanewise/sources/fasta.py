@@ -13,7 +13,11 @@ def read(spark: SparkSession, path: str, keep_spaces: bool = False, trim: bool =
     underscores for spaces, unless kept; with ``trim`` they end at the first space. A record without letters is
     an error. Letters that aren't A, C, G or T stay; the index takes them for T.
     """
-    return parsed(spark.read.text(path, lineSep="\n>").select(F.monotonically_increasing_id().alias("_n"), F.regexp_replace("value", "^>", "").alias("value")), keep_spaces, trim)
+    text = spark.read.text(path, lineSep="\n>").select(F.monotonically_increasing_id().alias("_n"), F.input_file_name().alias("_file"), "value")
+    # a file's first record still has its mark
+    first = text.select("_n", "_file").groupBy("_file").agg(F.min("_n").alias("_n")).select("_n", F.lit(True).alias("_first"))
+    marked = text.join(F.broadcast(first), "_n", "left")  # a row per file
+    return parsed(marked.select("_n", F.when(F.col("_first"), F.regexp_replace("value", "^>", "")).otherwise(F.col("value")).alias("value")), keep_spaces, trim)
 
 
 def parsed(records: DataFrame, keep_spaces: bool = False, trim: bool = False) -> DataFrame:
