@@ -1,7 +1,11 @@
 """Settings, codecs, scores, the kernel against brute force, files, and batch against stream."""
 
+import math
 import random
+import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +13,7 @@ from lanewise import config
 from lanewise.config import Settings
 from lanewise.functions import codecs, scoring
 from lanewise.functions.scoring import CIGAR, DELETION, INSERTION, MATCH, MISMATCH
-from lanewise.operators import demux, index, kernel, mapping
+from lanewise.operators import demux, index, kernel, mapping, shards
 from lanewise.sources import bcl, fasta, sam
 from lanewise.streaming import live
 
@@ -325,3 +329,335 @@ def test_machine_pace():
     found = bcl.delays([100, 8, 8, 100], "HISEQ_2500_RAPID_DUALBC")
     assert len(found) == 216 and sum(found) == 80881 and found[:2] == [1500, 1] and found[30] == 380
     assert sum(bcl.delays([100, 8, 8, 100], "HISEQ_2500_RAPID_DUALBC", 100)) == pytest.approx(808.81)
+
+
+# ---- mates, many reads at once, shards, stored indexes, sources ----
+
+
+def test_many_reads_are_like_one_at_a_time():
+    rng = random.Random(21)
+    contigs = [("a", "".join(rng.choice("ACG") for _ in range(300))), ("b", "".join(rng.choice("ACGT") for _ in range(200)))]
+    idx, s = index.Index(contigs), Settings(reads="40R", anchor_length=6, min_as=-18, error_interval=3, seeding_interval=3).resolved()
+    rules, n = kernel.Rules(idx, s, 40), 60
+    reads = []
+    for i in range(n):
+        source = rng.choice(contigs)[1]
+        at = rng.randrange(0, len(source) - 44)
+        read = (edited(rng, source[at : at + 44], rng.randrange(0, 4)) + "ACGTACGT")[:40] if i % 6 else "".join(rng.choice("ACGT") for _ in range(40))
+        reads.append(bytes(rng.choice((0, 40)) << 2 | "ACGT".index(b) for b in read))
+    grid = np.frombuffer(b"".join(reads), np.uint8).reshape(n, 40)
+    together, seen = kernel.Reads(n), 0
+    for c in range(40):
+        together.take(grid[:, c], rules)
+        if c in (9, 20, 33, 39):
+            own = together.seeds_of()
+            assert own == [kernel.folded(r, rules, c + 1).seeds for r in reads]
+            seen += sum(map(len, own))
+    assert seen > 100 and together.calls_of() == reads
+
+
+def plain_flags(records, mates):
+    """From a read's primary records (mate -> start and strand; None: unmapped and reported): flag, rname, pos, rnext, pnext."""
+    out = {}
+    for i, m in enumerate(mates):
+        own, following = records[m], records[mates[(i + 1) % len(mates)]]
+        flag = 0
+        if len(mates) > 1:
+            flag = 1 | (64 if i == 0 else 128 if i == len(mates) - 1 else 192)
+        flag |= 4 if own is None else 16 * own[1]
+        rname, pos = ("*", 0) if own is None else ("g", own[0] + 1)
+        rnext, pnext = "*", 0
+        if len(mates) > 1:
+            if following is None:
+                flag, rnext, pnext = flag | 8, rname, pos
+            else:
+                flag |= 32 * following[1]
+                rnext, pnext = "g", following[0] + 1
+                if own is None:
+                    rname, pos = rnext, pnext
+        out[m] = (flag, rname, pos, rnext, pnext)
+    return out
+
+
+@pytest.mark.parametrize("mates", [(1,), (2,), (1, 2), (1, 2, 3), (2, 3)])
+def test_flags_tell_of_the_mates_that_are_there(spark, genome, mates):
+    rng, flip = random.Random(22), str.maketrans("ACGT", "TGCA")
+    ref = spark.createDataFrame([(0, "g", genome, len(genome))], "rid int, name string, seq string, length long")
+    s = Settings(reads="40R,40R,40R", genome_size=4000, anchor_length=10, out_mode="ANYBEST", report_unmapped=True, lanes=(1,), tiles=(1101,)).resolved()
+    shared, rows, expected = index.broadcast(spark, index.build(ref)), [], {}
+    for read in range(20):
+        placed = {}
+        for m in mates:
+            at, turned, lost = rng.randrange(0, 1900), rng.randrange(2), rng.random() < 0.3
+            seq = "".join(rng.choice("AC") for _ in range(40)) if lost else genome[at : at + 40].translate(flip)[::-1] if turned else genome[at : at + 40]
+            placed[m] = None if lost else (at, turned)
+            rows.append((1, 1101, read, m, bytearray(bcl.calls_of(seq, "I" * 40))))
+        expected |= {(read, m): x for m, x in plain_flags(placed, mates).items()}
+    reads = spark.createDataFrame(rows, "lane int, tile int, read_no long, mate int, calls binary").repartition(3)
+    got = {(r["read_no"], r["mate"]): (r["flag"], r["rname"], r["pos"], r["rnext"], r["pnext"]) for r in mapping.sam(mapping.read_states(reads, shared, s), ref, shared, s).collect()}
+    assert got == expected
+
+
+def test_mates_of_different_progress_meet(spark, tmp_path, reference, genome):
+    """At a cycle within the second mate both are told of each other; before it the first is single."""
+    flip, rows = str.maketrans("ACGT", "TGCA"), []
+    for at in (30, 500, 900):
+        rows.append(bcl.calls_of(genome[at : at + 40] + "ACAGTCGA" + genome[at + 200 : at + 240].translate(flip)[::-1], "I" * 88))
+    s = settings(out_cycles=(40, 75))
+    out, shared = streamed(spark, tmp_path, reference, rows, [range(1, 89)], s)
+    first = live.report(spark, out, 40, reference, shared, s).collect()
+    assert {(r["mate"], r["flag"], r["rnext"], r["pnext"], r["cycle"]) for r in first} == {(1, 0, "*", 0, 40)} and len(first) == 3
+    both = sorted((r["read_no"], r["mate"], r["flag"], r["pos"], r["pnext"], r["cigar"]) for r in live.report(spark, out, 75, reference, shared, s).collect())
+    # the second mate's first 27 bases are the last of its place on the forward strand
+    assert both == [x for i, at in enumerate((30, 500, 900)) for x in ((i, 1, 97, at + 1, at + 214, "40M"), (i, 2, 145, at + 214, at + 1, "27M"))]
+
+
+def test_unique_mode_reports_no_ambiguous_read_as_unmapped(spark, genome):
+    ref = spark.createDataFrame([(0, "a", genome[:40] + "ACGT" * 9 + genome[:40], 116)], "rid int, name string, seq string, length long")
+    shared = index.broadcast(spark, index.build(ref))
+    s = Settings(reads="40R", genome_size=300, anchor_length=10, out_mode="UNIQUE", report_unmapped=True).resolved()
+    rows = [(1, 1101, i, 1, bytearray(bcl.calls_of(x, "I" * 40))) for i, x in enumerate((genome[:40], "G" * 40))]
+    reads = spark.createDataFrame(rows, "lane int, tile int, read_no long, mate int, calls binary")
+    assert [(r["read_no"], r["flag"]) for r in mapping.sam(mapping.read_states(reads, shared, s), ref, shared, s).collect()] == [(1, 4)]
+
+
+def test_shards_give_what_one_index_does(spark, genome):
+    rng, flip = random.Random(23), str.maketrans("ACGT", "TGCA")
+    contigs = [("x", genome[:1200]), ("y", "".join(rng.choice("ACGT") for _ in range(90))), ("z", genome[1200:2000] + genome[300:420])]
+    ref = spark.createDataFrame([(i, n, q, len(q)) for i, (n, q) in enumerate(contigs)], "rid int, name string, seq string, length long")
+    s = Settings(reads="50R", genome_size=4000, anchor_length=10, out_mode="ALLBEST", report_unmapped=True).resolved()
+    rows = []
+    for i in range(150):
+        source = contigs[i % 3][1]
+        at = rng.randrange(0, len(source) - 54) if i % 4 else min(len(source) - 54, 395 * (i % 3) + rng.randrange(0, 20))  # many across the cuts
+        seq = (edited(rng, source[at : at + 54], rng.choice((0, 0, 1, 2))) + "ACGTACG")[:50]
+        rows.append((1, 1101, i, 1, bytearray(bcl.calls_of(seq.translate(flip)[::-1] if i % 2 else seq, "I" * 50))))
+    reads = spark.createDataFrame(rows, "lane int, tile int, read_no long, mate int, calls binary").repartition(3)
+    shared = index.broadcast(spark, index.build(ref))
+    table, n = shards.pieces(ref, 400, 100)
+    assert n >= 4 and table.count() >= 6
+    report = lambda states: {(r["read_no"], r["flag"] & ~256, r["rname"], r["pos"], r["cigar"], (r["tags"] or {}).get("AS"), (r["tags"] or {}).get("MD")) for r in mapping.sam(states, ref, None, s).collect()}
+    whole = report(mapping.read_states(reads, shared, s))
+    assert report(shards.read_states(reads, ref, s, most=400)) == whole and len(whole) > 140
+    assert report(shards.read_states(reads.where("false"), ref, s, most=400)) == set() == report(shards.read_states(reads.where("false"), ref.where("false"), s))
+
+
+def test_stored_index(spark, tmp_path, genome, monkeypatch):
+    made = index.Index([("one", genome[:700]), ("two", genome[700:900])])
+    monkeypatch.setattr(index, "PIECE", 1000)
+    index.save(spark, made, str(tmp_path / "i"))
+    back = index.load(spark, str(tmp_path / "i"))
+    assert back.names == made.names and back.size == made.size and all((getattr(back, a) == getattr(made, a)).all() and getattr(back, a).dtype == getattr(made, a).dtype for a in index._ARRAYS)
+    with pytest.raises(index.TooLarge):
+        index.load(spark, str(tmp_path / "i"), 100)
+
+
+def test_fasta_headers_with_marks(spark, tmp_path):
+    (tmp_path / "g.fa").write_text(">chr1 a>b\r\nACgt\r\nNN\r\n>>two\n\nAC\n")
+    got = fasta.read(spark, str(tmp_path / "g.fa")).orderBy("rid").collect()
+    assert [tuple(r) for r in got] == [(0, "chr1_a>b", "ACGTNN", 6), (1, ">two", "AC", 2)]
+    (tmp_path / "h.fa").write_text(">a\nAC\n>b\n")
+    with pytest.raises(Exception, match="no sequence"):
+        fasta.read(spark, str(tmp_path / "h.fa")).collect()
+
+
+def test_tiles_in_ranges_and_filters_of_wrong_size(spark, tmp_path, run_rows):
+    root = str(tmp_path / "run")
+    bcl.write_run(root, 1, 1101, run_rows)
+    whole, parts = (sorted((r["seg_id"], r["read_no"], bytes(r["calls"])) for r in bcl.reads(spark, root, settings().segments, n).collect()) for n in (1000, 7))
+    assert whole == parts and len(whole) == 4 * len(run_rows)
+    bcl.write_filter(root, 1, 1101, [True] * 5)
+    path = bcl.filter_path(root, 1, 1101)
+    with open(path, "ab") as f:
+        f.write(b"\1")
+    with pytest.raises(Exception, match="another size"):
+        bcl.filters(spark, root).collect()
+
+
+def test_records_in_parts(spark, tmp_path, reference, run_rows, monkeypatch):
+    monkeypatch.setattr(sam, "PART_RECORDS", 9)
+    s = settings(out_format="SAM")
+    shared = index.broadcast(spark, index.build(reference))
+    reads = spark.createDataFrame([(1, 1101, i, 1, bytearray(row[:40])) for i, row in enumerate(run_rows)], "lane int, tile int, read_no long, mate int, calls binary")
+    files = sam.write(mapping.sam(mapping.read_states(reads, shared, s), reference, shared, s), reference, str(tmp_path / "out"))
+    assert len(files) == 3 and all(f.split("_all.")[1] in ("0.sam", "1.sam", "2.sam") for f in files)
+    assert sam.read_sam(spark, str(tmp_path / "out")).select("qname").distinct().count() == len(run_rows)
+
+
+def test_window_choice_is_a_plain_loop(spark, genome):
+    """All places of reads from a repetitive contig, in the order of rank, against a loop over them."""
+    repeat = genome[:30]
+    contig = "".join(repeat[: 12 + i % 18] + genome[100 + 7 * i : 104 + 7 * i] for i in range(40)) + genome[:300]
+    ref = spark.createDataFrame([(0, "a", contig, len(contig))], "rid int, name string, seq string, length long")
+    shared = index.broadcast(spark, index.build(ref))
+    rows = [(1, 1101, i, 1, bytearray(bcl.calls_of(contig[40 * i : 40 * i + 30], "I" * 30))) for i in range(20)]
+    reads = spark.createDataFrame(rows, "lane int, tile int, read_no long, mate int, calls binary")
+    for mode in ("ALL", "ALLBEST", "ANYBEST", "N2"):
+        s = Settings(reads="30R", genome_size=2000, anchor_length=8, out_mode=mode).resolved()
+        found = mapping.alignments(mapping.read_states(reads, shared, s), shared, s).cache()
+        got = {}
+        for r in mapping.records(found, ref, s).collect():
+            got.setdefault(r["read_no"], []).append((r["nth"], r["gid"], r["start"], r["score"]))
+        by_read = {}
+        for r in found.where((F.col("score") >= s.min_as) & (F.col("clip") <= s.max_softclip_ratio * 30)).collect():
+            span = sum(x["len"] for x in r["cigar"] if x["op"] != INSERTION)
+            for p in r["places"][:1] if mode == "ANYBEST" else r["places"]:
+                start = len(contig) - p["at"] - span + r["clip"] if p["gid"] % 2 == 0 else p["at"]
+                if start >= 0:
+                    by_read.setdefault(r["read_no"], []).append((r["seed"], p["gid"], p["at"], start, r["score"]))
+        for read, places in by_read.items():
+            seen, out = set(), []
+            for _, gid, _, start, score in sorted(places):
+                if (mode == "ANYBEST" and out) or (mode == "N2" and len(out) == 2) or (mode == "ALLBEST" and out and score != out[0][3]):
+                    break
+                if (gid, start // 10) not in seen and (gid, start // 10 + 1) not in seen:
+                    seen.add((gid, start // 10))
+                    out.append((len(out) + 1, gid, start, score))
+            assert sorted(got.get(read, [])) == out, (mode, read)
+        assert sum(map(len, got.values())) >= 20
+
+
+def test_status_and_progress(spark, tmp_path, reference, run_rows):
+    said = []
+    listener = live.Progress(said.append)
+    spark.streams.addListener(listener)
+    s = settings(out_cycles=(20,))
+    streamed(spark, tmp_path, reference, run_rows, [range(1, 21), range(22, 30)], s)
+    got = sorted(map(tuple, live.status(spark, str(tmp_path / "check")).collect()))
+    assert got == [(1, 1101, 0, 20), (1, 1101, 1, 20)]
+    for _ in range(50):
+        if sum("ended" in x for x in said) == 2:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert any("20 files" in x and "last cycle 20" in x for x in said) and any("last cycle 29" in x for x in said)
+
+
+def test_noise_and_lanes(spark, tmp_path):
+    text = "".join(f"@r{i}\nACGTACGT\n+\nIIIIIIII\n" for i in range(40))
+    assert bcl.fastq_to_run(text, str(tmp_path / "a"), 1, (1101,), 0.5, 10, 3) == 50
+    names = (tmp_path / "a/L001/s_1_1101.names").read_text().split()
+    assert sorted(names) == sorted([f"r{i}" for i in range(40)] + [f"noise.{i}" for i in range(10)])
+    passed = [r["pass"] for r in bcl.filters(spark, str(tmp_path / "a")).collect()]
+    assert len(passed) == 50 and 10 < sum(passed) < 40
+    bcl.await_lanes(str(tmp_path / "a"), (1,))
+    with pytest.raises(TimeoutError):
+        bcl.await_lanes(str(tmp_path / "a"), (1, 2), 0.01, 0.05)
+
+
+# ---- whole records against plain Python ----
+
+
+def plain_score(cigar, s):
+    total, last = 0, len(cigar) - 1
+    for i, (n, op) in enumerate(cigar):
+        if op == MISMATCH and i in (0, last):
+            total = int(float(np.float32(total) - (np.float32(s.scores.softclip_open) + np.float32(n) * np.float32(s.scores.softclip_extend))))
+        elif op == MISMATCH:
+            total -= n * s.scores.mismatch
+        elif op == INSERTION:
+            total -= s.scores.insertion_open + n * s.scores.insertion_extend
+        elif op == DELETION:
+            total -= s.scores.deletion_open + n * s.scores.deletion_extend
+        else:
+            total += n * s.scores.match
+    return total
+
+
+def plain_texts(cigar, bases):
+    """CIGAR, extended CIGAR and MD."""
+    named = lambda extended: ["S" if i == 0 and op == MISMATCH else {MATCH: "M", MISMATCH: "X" if extended else "M", INSERTION: "I", DELETION: "D"}[op] for i, (_, op) in enumerate(cigar)]
+
+    def text(letters):
+        out = []
+        for (n, _), letter in zip(cigar, letters, strict=True):
+            if out and out[-1][1] == letter:
+                out[-1][0] += n
+            else:
+                out.append([n, letter])
+        return [f"{n}{letter}" for n, letter in out]
+
+    md, run, at = [], 0, 0
+    for i, (n, op) in enumerate(cigar):
+        if op == DELETION or (op == MISMATCH and i):
+            md += [str(run)] * (run > 0) + [bases[at : at + n]]
+            run, at = 0, at + n
+        elif op == MATCH:
+            run += n
+    return text(named(False)), text(named(True)), md + [str(run)] * (run > 0)
+
+
+def plain_mapq(score, best, total, unique, length, s):
+    if unique and score == length * s.scores.match:
+        return 42
+    errors = lambda x: (length * s.scores.match - x) / s.scores.least_penalty
+    share = 0.01 ** (errors(score) - errors(best))
+    most, now = 100 * errors(scoring.threshold(length, length, s)) / length, 100 * errors(score) / length
+    right = 1.0 if score == length * s.scores.match else 0.49995 + 0.5 * (1 - 10 ** (-5 - most + 2 * now))
+    p = right * share / total
+    return next((i for i, top in enumerate((0.1, 0.29, 0.435, 0.55)) if p <= top), None) if p <= 0.55 else math.floor(-10 * math.log10(1 - min(p, 0.99993)) + 0.5)
+
+
+def plain_records(contigs, calls, s, length):
+    """flag, contig, pos, mapq, cigar, seq, qual, score, nm, md of a single read, by the rules alone."""
+    seeds = []
+    for cycle, found in brute_states([c for _, c in contigs], calls, s, length):
+        seeds = found if cycle == length else seeds
+    rows = []
+    for at, _, cigar, bases in seeds:
+        text, extended, md = plain_texts(cigar, bases)
+        clip = cigar[0][0] if cigar[0][1] == MISMATCH else 0
+        rows.append((-plain_score(cigar, s), clip > 0, clip, len(cigar), "".join(extended), bases, cigar, at, text, md))
+    rows.sort(key=lambda r: r[:6])
+    if not rows:
+        return []
+    best, found = -rows[0][0], sum(len(r[7]) for r in rows)
+    total = sum(len(r[7]) * 0.01 ** ((best + r[0]) / s.scores.least_penalty) for r in rows)
+    bases_, quals = "".join("N" if b < 4 else "ACGT"[b & 3] for b in calls), "".join(chr(33 + (b >> 2)) for b in calls)
+    flip, out, seen = str.maketrans("ACGTN", "TGCAN"), [], set()
+    mode = s.out_mode
+    for minus, _, clip, _, _, _, cigar, at, text, md in rows:
+        if -minus < s.min_as or clip > s.max_softclip_ratio * length:
+            continue
+        places = sorted((g, len(contigs[g // 2][1]) - e) for g, e in at)
+        for g, p in places[:1] if mode == "ANYBEST" else places:
+            if mode == "ANYBEST" and out:
+                break
+            span = sum(n for n, op in cigar if op != INSERTION)
+            start = p if g % 2 else len(contigs[g // 2][1]) - p - span + clip
+            if start < 0 or (g, start // 10) in seen or (g, start // 10 + 1) in seen:
+                continue
+            seen.add((g, start // 10))
+            second, turned = bool(out), g % 2 == 1
+            seq, qual = ("*", "*") if second else (bases_.translate(flip)[::-1], quals[::-1]) if turned else (bases_, quals)
+            told = [x.translate(flip) for x in (re.findall("[0-9]+|[A-Z]", "".join(md))[::-1] if turned else md)] if turned else md
+            nm = sum(n for n, op in cigar[1:] if op != MATCH)
+            out.append((256 * second + 16 * turned, contigs[g // 2][0], start + 1, plain_mapq(-minus, best, total, found == 1, length, s), "".join(text[::-1] if turned else text), seq, qual, str(-minus), str(nm), "".join(told)))
+    return out
+
+
+@pytest.mark.parametrize("mode", ["ALL", "ANYBEST"])
+def test_records_are_those_of_plain_rules(spark, mode):
+    rng, flip = random.Random(31), str.maketrans("ACGT", "TGCA")
+    contigs = [("one", "".join(rng.choice("ACGT") for _ in range(220))), ("two", "".join(rng.choice("ACGT") for _ in range(90)))]
+    contigs[0] = ("one", contigs[0][1] + contigs[0][1][20:90] + contigs[1][1][10:60].translate(flip)[::-1])
+    ref = spark.createDataFrame([(i, n, q, len(q)) for i, (n, q) in enumerate(contigs)], "rid int, name string, seq string, length long")
+    s = Settings(reads="36R", genome_size=800, anchor_length=7, min_as=-20, error_interval=3, seeding_interval=3, out_mode=mode).resolved()
+    rows, expected, letters = [], {}, set()
+    for i in range(70):
+        source = rng.choice(contigs)[1]
+        at = rng.randrange(0, len(source) - 42)
+        read = (edited(rng, source[at : at + 42], rng.choice((0, 1, 1, 2))) + "ACGTAC")[:36]
+        read = "".join(rng.choice("ACGT") for _ in range(5)) + read[5:] if i % 7 == 0 else read
+        read = read.translate(flip)[::-1] if i % 2 else read
+        calls = bytes(rng.choice((0, 3, 30, 40)) << 2 | "ACGT".index(b) for b in read)
+        rows.append((1, 1101, i, 1, bytearray(calls)))
+        expected[i] = plain_records(contigs, calls, s, 36)
+    reads = spark.createDataFrame(rows, "lane int, tile int, read_no long, mate int, calls binary").repartition(3)
+    shared, got = index.broadcast(spark, index.build(ref)), {i: [] for i in range(70)}
+    for r in sorted(mapping.sam(mapping.read_states(reads, shared, s), ref, shared, s).collect(), key=lambda r: r["rank"]):
+        got[r["read_no"]].append((r["flag"], r["rname"], r["pos"], r["mapq"], r["cigar"], r["seq"], r["qual"], r["tags"]["AS"], r["tags"]["NM"], r["tags"]["MD"]))
+        letters |= set(re.findall("[A-Z]", r["cigar"]))
+    for i, x in expected.items():
+        assert got[i] == x, i
+    assert letters >= set("MIDS") and sum(map(len, expected.values())) > 60 and len({x[7] for xs in expected.values() for x in xs}) > 4
