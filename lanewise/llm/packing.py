@@ -11,7 +11,8 @@ Ranks are counted within (length, salt) and shifted by the counts of the salts b
 length which a third of the rows share isn't sorted by one task.
 
 Null text: empty, one piece that holds only the end id. Repeated rows are packed once each.
-An empty table gives an empty result. Other columns are ignored.
+An empty table gives an empty result. Other columns are ignored. Of bins that are equally good the one in use
+longest is taken; pieces of one length are dealt to their places by row and piece.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ from pyspark.sql import functions as F
 from lanewise.llm import bpe
 from lanewise.llm.common import cut, numbered, text_or_empty
 
-SALTS = 64
+#: Parts of a length's ranks at least, and rows of which a part is made at most where one length has all rows.
+SALTS, PART_ROWS = 64, 1 << 26
+#: Entries of a plan that are broadcast; a longer one is joined by shuffle.
+BROADCAST_SLOTS = 1 << 20
 
 
 def token_pieces(docs: DataFrame, ranks_file: str = "byte_bpe_50k.tiktoken", max_tokens: int = 2048, end_id: int = 0) -> DataFrame:
@@ -138,9 +142,9 @@ def plan(histogram: dict[int, int], caps: Capacities) -> list[tuple[int, int, in
     return out
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
+def ranked(pieces: DataFrame, salts: int = SALTS) -> DataFrame:
     """Adds ``_rank``, from 0 without gaps within each length."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_row", "piece"), F.lit(SALTS)).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_row", "piece"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     shift = sizes.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -153,8 +157,9 @@ def place(pieces: DataFrame, caps: Capacities | None = None) -> DataFrame:
     """Adds sequence_id and offset to rows with _row, piece and length; lengths are whole and at least 1."""
     caps = caps or Capacities()
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most caps.tokens rows
-    slots = pieces.sparkSession.createDataFrame(plan(histogram, caps) or [(0, 0, 0, 0, 1, 0)], "_length long, _from long, _to long, _bin long, _each long, _offset long")
-    p, s = ranked(pieces), F.broadcast(slots)
+    entries = plan(histogram, caps) or [(0, 0, 0, 0, 1, 0)]
+    slots = pieces.sparkSession.createDataFrame(entries, "_length long, _from long, _to long, _bin long, _each long, _offset long")
+    p, s = ranked(pieces, max(SALTS, sum(histogram.values()) // PART_ROWS)), F.broadcast(slots) if len(entries) <= BROADCAST_SLOTS else slots
     nth = F.col("_rank") - F.col("_from")
     placed = p.join(s, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     return placed.select(
