@@ -87,11 +87,12 @@ _ORDERED = "ordered_reads AS (SELECT *, row_number() OVER (PARTITION BY lane, ti
 
 @query(with_tables("calls") + """, places AS (SELECT read_no, row_number() OVER (PARTITION BY lane, tile ORDER BY read_no) - 1 AS place FROM reads),
     per AS (SELECT lane, tile, count(*) AS n FROM reads GROUP BY ALL)
-SELECT lane, tile, cycle, n, place AS read_no, b FROM calls JOIN places USING (read_no) JOIN per USING (lane, tile)""")
+SELECT lane, tile, cycle, n, count(*) AS reads, CAST(sum(b * (place + 1)) AS BIGINT) AS weighted FROM calls JOIN places USING (read_no) JOIN per USING (lane, tile) GROUP BY ALL""")
 def bcl_scan(spark, sf_dir):
-    """Base call files by path and content: their rows counted by the header, and a row per read and cycle."""
+    """Base call files by path and content: their rows counted by the header, and all reads' calls at their places, summed up."""
     files = _tile_cycles(_bytes(spark, sf_dir, "lane", "tile", "read_no")).select(bcl.bcl_path_of(F.lit("run"), F.col("lane"), F.col("tile"), F.col("cycle")).alias("path"), F.concat(_int32(F.octet_length("calls")), "calls").alias("content"))
-    return bcl.calls_in(bcl.parsed(files))
+    each = bcl.calls_in(bcl.parsed(files))
+    return each.groupBy("lane", "tile", "cycle", "n").agg(F.count("*").alias("reads"), F.sum(F.col("b") * (F.col("read_no") + 1)).alias("weighted"))
 
 
 @query(with_tables("reads") + f", {_ORDERED} SELECT lane, tile, place AS read_no, pass FROM ordered_reads")
