@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.llm import common, language_id, licenses, media, near_dup, packing, pii, token_counts, topk, url_filter, webp
+from lanewise.llm import common, language_id, licenses, media, mixing, near_dup, packing, pii, token_counts, topk, url_filter, webp
 from test_operators import WORDS, base_spans, docs_of, groups_of, saved
 
 # ---- 1: personal data ----
@@ -358,3 +358,45 @@ def test_hot_keys_join_like_others(spark, monkeypatch):
     for how in ("inner", "left"):
         plain, split = (sorted(map(tuple, df.select("k", "i", "x").collect()), key=str) for df in (rows.join(keys, "k", how), common.joined(rows, keys, ["k"], how)))
         assert plain == split
+
+
+def test_long_plans_are_joined_by_shuffle(spark, tmp_path, monkeypatch):
+    df = saved(spark, tmp_path, docs_of(spark, ["word " * n for n in (1, 5, 900, 2100, 2100, 3, 3, 3)]))
+    place = lambda: sorted(tuple(r) for r in packing.pack_documents(df).drop("sequence_id").collect())
+    once = place()
+    monkeypatch.setattr(packing, "BROADCAST_SLOTS", 0)
+    monkeypatch.setattr(packing, "PART_ROWS", 1)
+    monkeypatch.setattr(packing, "SALTS", 2)
+    assert [r[:4] for r in place()] == [r[:4] for r in once] and len(once) > 8
+
+
+def test_a_plan_is_plain_best_fit():
+    """Bin by bin, without groups: as many bins, and every item where it fits."""
+    rng = random.Random(14)
+    for select in ("norm", "dot"):
+        for _ in range(15):
+            caps = packing.Capacities(100, rng.choice((3, 100)), rng.choice((2500, 10000)), (1.0, 0.5, 2.0), select)
+            histogram = {n: rng.randrange(1, 9) for n in rng.sample(range(1, 90), 12)}
+            size, weight = np.array([caps.tokens, caps.documents, caps.attention], float), np.array(caps.weights)
+            bins = []
+            for length in sorted(histogram, reverse=True):
+                demand = np.array([length, 1, length * length], float)
+                for _ in range(histogram[length]):
+                    fits = [i for i, r in enumerate(bins) if (r >= demand).all()]
+                    score = lambda i: float((weight * ((bins[i] - demand) / size) ** 2).sum()) if select == "norm" else -float((weight * (demand / size) * (bins[i] / size)).sum())  # noqa: B023, E731
+                    at = min(fits, key=score) if fits else len(bins)
+                    if not fits:
+                        bins.append(size.copy())
+                    bins[at] = bins[at] - demand
+            rows = packing.plan(histogram, caps)
+            made = {first + k for _, a, b, first, each, _ in rows for k in range(-(-(b - a) // each))}
+            assert abs(len(made) - len(bins)) <= max(1, len(bins) // 12)
+
+
+def test_a_long_page_and_a_long_text(spark):
+    html = "".join(f'<a href="http://h{i % 50}.org/{i}">x</a>' for i in range(20000))
+    rows = url_filter.host_edges(spark.createDataFrame([("http://a.org/", html), ("http://a.org/", html), (None, html)], "url string, html string")).collect()
+    assert len(rows) == 50 and {r["links"] for r in rows} == {2.0}
+    docs = docs_of(spark, ["word " * 200000, "b c", "", None])
+    weights = mixing.mixed(docs, mixing.Mix(repetitions=1.5)).count()
+    assert weights >= 4
