@@ -5,7 +5,8 @@ samples of a 16 pixels wide image; texts over 1 MB take several images, one afte
 ``decoded`` reads any column of lossless WebP (see webp.py) and gives width, height, the RGBA samples and
 features of them. A value that is no lossless WebP has null for all of these and the reason in ``error``.
 
-Null text: empty, i.e. one row of zero samples. Null media: all null. Repeated rows: one result row each.
+Null text: empty, i.e. one row of zero samples. Null media: all null. Repeated rows: one result row each, with
+equal values. An empty table gives an empty one.
 """
 
 from __future__ import annotations

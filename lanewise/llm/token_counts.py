@@ -9,7 +9,8 @@
 
 Which pre-tokens are in the head changes the cost only. No ids are kept: of each encoding only the length.
 
-Null or empty text: 0 bytes, 0 tokens. Repeated rows: one result row each. Other columns are ignored.
+Null or empty text: 0 bytes, 0 tokens. Repeated rows: one result row each. Other columns are ignored. An empty
+table gives an empty one. A text of exactly ``limit`` tokens isn't over it.
 """
 
 from __future__ import annotations
