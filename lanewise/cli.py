@@ -57,6 +57,15 @@ def settings_of(args: argparse.Namespace) -> config.Settings:
     return merged
 
 
+def shared_folders(spark: SparkSession, settings: config.Settings) -> config.Settings:
+    """The settings, if their folders can be shared: on a cluster a relative path is each machine's own."""
+    if not spark.sparkContext.master.startswith("local"):
+        for name in ("temp_dir", "out_dir"):
+            if not getattr(settings, name).startswith("/") and "://" not in getattr(settings, name):
+                raise config.SettingError(f"--{name.replace('_', '-')} must name a folder that driver and executors share")
+    return settings
+
+
 def build_index(spark: SparkSession, source: str, out: str, keep_spaces: bool, trim: bool) -> int:
     """Writes the reference as a table, and its index beside it if one index can hold it; returns both strands' size."""
     fasta.read(spark, source, keep_spaces, trim).write.mode("overwrite").parquet(out)
@@ -82,7 +91,7 @@ def map_run(spark: SparkSession, merged: config.Settings, live_: bool) -> list[s
     from lanewise.streaming import live
 
     reference = spark.read.parquet(merged.index)
-    settings = replace(merged, genome_size=index.genome_size(reference)).resolved()
+    settings = shared_folders(spark, replace(merged, genome_size=index.genome_size(reference)).resolved())
     out = Path(settings.out_dir)
     out.mkdir(parents=True, exist_ok=True)
     (out / "run.ini").write_text(config.write_ini(settings))
@@ -179,7 +188,7 @@ def main(argv: list[str] | None = None) -> None:
         print(*map_run(spark, merged, args.live), sep="\n")
     else:
         reference = spark.read.parquet(merged.index)
-        settings = replace(merged, genome_size=index.genome_size(reference)).resolved()
+        settings = shared_folders(spark, replace(merged, genome_size=index.genome_size(reference)).resolved())
         print(*output(spark, settings, reference, index_of(spark, merged.index, reference)), sep="\n")
 
 
