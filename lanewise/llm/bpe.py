@@ -15,7 +15,7 @@ import regex
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50256
 #: Entries that a worker keeps at most; a full cache is emptied, which costs time and nothing else.
-CACHE = 600_000
+CACHE = 1 << 18
 
 
 class OddSpaces(Exception):

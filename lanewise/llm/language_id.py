@@ -12,7 +12,7 @@ is merged in Spark and has SLOTS masks however much text there is.
 
 Letters are what Unicode calls so, lower-cased; all else is a word boundary. Null text, or one without
 letters: ``und`` with score 0. Without any labelled document every text is ``und``. Repeated rows: one
-result each. Null labels take no part in training. Labels, ids and sources are no inputs of a prediction.
+result each. Long texts are taken whole; an empty table gives an empty one. Null labels take no part in training. Labels, ids and sources are no inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ SLOTS, HASHES = 1 << 20, 3
 PER_LANGUAGE = 4000
 RATIO, LEAST = 0.5, 2
 #: Code points that are taken together.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 @lru_cache(maxsize=1)
