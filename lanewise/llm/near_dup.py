@@ -10,18 +10,20 @@ class; classes are the nodes of the link graph, so copies never meet in pairs.
    five standard errors of the threshold (or above) are confirmed. Pairs of sets under ``FEW`` shingles are
    confirmed whatever the estimate: the permutations are linear, so on tiny sets errors are larger than that.
 3. Pairs are confirmed on the full sets, made again from the texts. Two rounds link each class to one leader
-   (the candidate in its buckets with the best estimate), which unites nearly all groups with one link per
-   class. A last round takes the buckets that still hold several components: all pairs where a bucket has
-   ``SMALL`` classes at most; over the classes of larger ones, shingles are ordered by how many of these have
-   them, and two similar sets must share one among the first of each (prefix filter: exact, and it passes
-   over what all copies of a text have in common).
+   (of those that its buckets have in another component, the one with the best estimate), which unites nearly
+   all groups with one link per class. A last round takes the buckets that still hold several components: all
+   pairs where a bucket has ``SMALL`` classes at most; over the classes of larger ones, shingles are ordered by
+   how many of these have them, and two similar sets must share one among the first of each (prefix filter:
+   exact, and it passes over what all copies of a text have in common). Of these pairs the likeliest of any two
+   components is confirmed first, and then all pairs of components that are still apart.
 
 Components come from hooking each root to its least neighbour and pointer jumping; links, components and
 signatures stay in tables. Keys that many rows have (a band of a large group, the key of a text with many copies)
 meet their rows by broadcast, a bounded number of keys, so that no task gets all rows of one. A pair at the threshold shares no band with a probability of 1.3e-6.
 
 Documents without words (or null text): empty set, no links, a component of their own. Repeated rows are
-copies of one another. A null doc_id takes part and has the least other doc_id of its group, or null.
+copies of one another. A null doc_id takes part and has the least other doc_id of its group, or null. Texts of
+any length are taken whole; an empty table gives an empty one. Similarity of exactly 0.75 is a link.
 """
 
 from __future__ import annotations
@@ -41,9 +43,11 @@ ROWS, BANDS = 5, 50
 PERMUTATIONS, BITS = 256, 4
 NUMERATOR, DENOMINATOR = 3, 4
 #: Members of a leader's group that are confirmed by one task.
-GROUP = 512
+GROUP = 64
 #: Classes in a bucket whose pairs are taken as they are.
 SMALL = 8
+#: Rounds in which classes are linked to leaders.
+TURNS = 2
 #: Shingles from which on a set's estimates are taken for near the similarity.
 FEW = 64
 #: Rows with which texts are picked by broadcast; with more, texts are shuffled to them.
@@ -52,10 +56,14 @@ PICK_ROWS = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Words that a worker keeps the hashes of; a full table is emptied.
+KNOWN_WORDS = 1 << 17
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 500_000:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         self[word] = value
         return value
@@ -271,12 +279,12 @@ def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     all_docs = cut(signatures(texts, words), "signatures")
     # a class of equal sets stands for its documents; its node is the row of its least document
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("_row").alias("node"))).alias("first")
-    classes = cut(all_docs.where("n_shingles > 0").groupBy("key_a", "key_b").agg(first).select("key_a", "key_b", "first.doc_id", "first.node"), "classes")
+    classes = cut(all_docs.where("n_shingles > 0").groupBy("key_a", "key_b").agg(first, F.count("*").alias("n")).select("key_a", "key_b", "first.doc_id", "first.node", "n"), "classes")
     nodes = all_docs.join(classes.select("node"), all_docs["_row"] == F.col("node")).select("node", "n_shingles", "signature", "bands")
     members = cut(nodes.select("node", F.explode("bands").alias("key")), "bands")
-    shared = cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    hot = hot_keys(members, ["key"])  # a band that many classes have
-    members = cut(joined(members, shared, ["key"], hot=hot), "members")
+    shared = cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    hot = hot_keys(members, ["key"], shared)  # a band that many classes have
+    members = cut(joined(members, shared.select("key"), ["key"], hot=hot), "members")
     involved = cut(nodes.join(members.select("node").distinct(), "node").select("node", "n_shingles", "signature"), "involved")
     node_texts = texts.select(F.col("_row").alias("node"), "text")
     enough = least_estimate(NUMERATOR / DENOMINATOR)
@@ -288,34 +296,49 @@ def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
         return both.withColumn("estimate", estimate(F.col("s_u"), F.col("s_v"))).where((F.greatest("n_u", "n_v") < FEW) | (F.col("estimate") >= enough)).select("u", "v", "estimate")
 
     labels, tried, buckets = None, None, members
-    for turn in range(3):
+
+    def link(pairs: DataFrame) -> None:
+        """Confirms pairs and unites what they link."""
+        nonlocal labels, tried
+        if pairs.isEmpty():
+            return
+        labels = united(_rooted(confirmed(pairs, node_texts, words), labels, "u", "v"), labels)
+        done = pairs.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
+        tried = done if tried is None else tried.unionByName(done)
+
+    for turn in range(TURNS + 1):
         buckets = cut(_rooted(buckets.select("key", "node", F.col("node").alias("root")), labels, "root"), "buckets")
         # only buckets that hold more than one component matter
-        mixed = buckets.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("drawn"), F.min("node").alias("least"), F.count("*").alias("n"))
-        mixed = cut(mixed.where("low < high").select("key", (F.col("drawn") if turn else F.col("least")).alias("leader"), "n"), "mixed")
+        drawn = F.min_by("node", F.struct("root", F.xxhash64("node", F.lit(turn))))
+        mixed = buckets.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), drawn.alias("leader"), F.count("*").alias("n"))
+        mixed = cut(mixed.where("low < high").select("key", "low", "leader", "n"), "mixed")
         buckets = joined(buckets, mixed, ["key"], hot=hot)
-        if turn < 2:
-            pairs = buckets.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-            best = F.max_by("u", F.struct("estimate", -F.col("u"))).alias("u")
-            pairs = likely(pairs).groupBy("v").agg(best)
-        else:
-            few = buckets.where(F.col("n") <= SMALL)
-            a, b = (few.select("key", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
-            pairs = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v"))).select("u", "v").distinct()
-            many = buckets.where(F.col("n") > SMALL).select("node", "root").distinct()
-            pairs = likely(pairs.unionByName(_sharing_prefixes(many, node_texts, words)).distinct())
+        if turn < TURNS:
+            pairs = buckets.where("root <> low").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+            pairs = likely(pairs).groupBy("v").agg(F.max_by("u", F.struct("estimate", -F.col("u"))).alias("u"))
+            link(cut(pairs.select("u", "v"), "pairs"))
+            continue
+        few = buckets.where(F.col("n") <= SMALL)
+        a, b = (few.select("key", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
+        pairs = a.join(b, (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v"))).select("u", "v").distinct()
+        many = buckets.where(F.col("n") > SMALL).select("node", "root").distinct()
+        open_ = cut(likely(pairs.unionByName(_sharing_prefixes(many, node_texts, words)).distinct()), "open")
+        for last in (False, True):
+            # first the likeliest pair of two components, then all pairs of those that are still apart
+            apart = _rooted(open_.select("u", "v", "estimate", F.col("u").alias("root_u"), F.col("v").alias("root_v")), labels, "root_u", "root_v").where("root_u <> root_v")
+            if not last:
+                two = F.least("root_u", "root_v").alias("x"), F.greatest("root_u", "root_v").alias("y")
+                apart = apart.groupBy(*two).agg(F.max_by(F.struct("u", "v"), F.struct("estimate", -F.col("u"), -F.col("v"))).alias("best")).select("best.u", "best.v")
+            pairs = apart.select("u", "v")
             if tried is not None:
                 pairs = pairs.join(tried, (F.least("u", "v") == F.col("x")) & (F.greatest("u", "v") == F.col("y")), "left_anti")
-        pairs = cut(pairs.select("u", "v"), "pairs")
-        if not pairs.isEmpty():
-            links = confirmed(pairs, node_texts, words)
-            labels = united(_rooted(links, labels, "u", "v"), labels)
-            done = pairs.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
-            tried = done if tried is None else tried.unionByName(done)
-    rooted = cut(_rooted(classes.withColumn("root", F.col("node")), labels, "root"), "rooted")
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = cut(joined(rooted, least, ["root"]).select("key_a", "key_b", "component_id", F.col("root").alias("_group")), "found")
-    out = joined(all_docs.select("_row", "doc_id", "n_shingles", "key_a", "key_b").where("n_shingles > 0"), found, ["key_a", "key_b"])
+            link(cut(pairs, "pairs"))
+    rooted = cut(_rooted(classes.select("key_a", "key_b", "doc_id", F.col("node").alias("root")), labels, "root"), "rooted")
+    least = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")
+    found = joined(rooted, least.drop("n"), ["root"], hot=hot_keys(rooted, ["root"], least))
+    found = cut(found.select("key_a", "key_b", "component_id", F.col("root").alias("_group")), "found")
+    some = all_docs.select("_row", "doc_id", "n_shingles", "key_a", "key_b").where("n_shingles > 0")
+    out = joined(some, found, ["key_a", "key_b"], hot=hot_keys(some, ["key_a", "key_b"], classes))
     alone = all_docs.where("n_shingles = 0").select("_row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("_row").alias("_group"))
     out = out.select("_row", "doc_id", "n_shingles", "component_id", "_group").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
