@@ -591,18 +591,14 @@ def _prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * high + second, v & ((1 << (high - 1)) - 1), high - 1
 
 
-def _pack(codes: np.ndarray, lengths: np.ndarray, before: int = 0) -> tuple[np.ndarray, int]:
-    """Bytes that hold all codes, lowest bit first, one after another from bit ``before`` on; and the bits in all."""
-    ends = np.cumsum(lengths) + before
-    at = ends - lengths
-    byte = at >> 3
-    value = codes << (at & 7)  # at most 15 + 7 bits; no two share a bit, so sums are unions
-    total = int(ends[-1])
-    n = (total + 7 >> 3) + 3
-    packed = np.bincount(byte, value & 0xFF, n)
-    packed[1:] += np.bincount(byte, value >> 8 & 0xFF, n)[:-1]
-    packed[2:] += np.bincount(byte, value >> 16, n)[:-2]
-    return packed[: total + 7 >> 3].astype(np.uint8), total
+def _pack(codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, int]:
+    """Bytes that hold all codes (of 15 bits at most), lowest bit first, one after another; and the bits in all."""
+    ends = np.cumsum(lengths)
+    at, total = ends - lengths, int(ends[-1])
+    value, word, n = codes << (at & 31), at >> 5, (total >> 5) + 2
+    packed = np.bincount(word, value & 0xFFFFFFFF, n)  # no two share a bit, so sums are unions
+    packed[1:] += np.bincount(word, value >> 32, n)[:-1]
+    return packed.astype("<u4").tobytes()[: total + 7 >> 3], total
 
 
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -682,18 +678,10 @@ class _Tokens:
 
     def __init__(self, argb: np.ndarray, width: int, copies: list[tuple[int, int, int]], cache_bits: int):
         self.n, self.copies, self.cache_bits, self.cached = len(argb), copies, cache_bits, np.zeros(0, np.int64)
-        single = np.ones(len(argb), bool)
-        for p, n, _ in copies:
-            single[p : p + n] = False
-        hit = np.zeros(len(argb), bool)
-        if cache_bits:
-            slots = _slots(argb, cache_bits).astype(np.int64)
-            order = np.sort(slots << 20 | np.arange(len(argb))) & ((1 << 20) - 1)
-            again = (slots[order[1:]] == slots[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
-            hit[order[1:][again]] = True  # what went into the slot last is this pixel
-            self.cached = np.flatnonzero(single & hit)
-            self.slots = slots[self.cached]
-        self.literal = np.flatnonzero(single & ~hit)
+        if copies or cache_bits:
+            self._found(argb)
+        else:
+            self.literal = np.arange(self.n)
         near = {max(1, x + y * width): k for k, (x, y) in reversed(list(enumerate(OFFSETS, 1)))} if copies else {}
         self.places = np.array([p for p, *_ in copies], np.int64)
         self.lengths = np.array([_prefix_of(n) for _, n, _ in copies], np.int64).reshape(-1, 3)
@@ -708,6 +696,21 @@ class _Tokens:
         rest = sum(np.bincount(x, minlength=256) for x in self.samples[1:])
         self.counts = [green, rest, np.bincount(self.distances[:, 0], minlength=DISTANCE_CODES)]
 
+    def _found(self, argb: np.ndarray) -> None:
+        """Which pixels are literals and which come from the cache."""
+        single = np.ones(len(argb), bool)
+        for p, n, _ in self.copies:
+            single[p : p + n] = False
+        hit = np.zeros(len(argb), bool)
+        if self.cache_bits:
+            slots = _slots(argb, self.cache_bits).astype(np.int64)
+            order = np.sort(slots << 20 | np.arange(len(argb))) & ((1 << 20) - 1)
+            again = (slots[order[1:]] == slots[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+            hit[order[1:][again]] = True  # what went into the slot last is this pixel
+            self.cached = np.flatnonzero(single & hit)
+            self.slots = slots[self.cached]
+        self.literal = np.flatnonzero(single & ~hit)
+
     @cached_property
     def size(self) -> float:
         """In bits, about."""
@@ -758,7 +761,7 @@ class _Tokens:
         else:
             codes = self._mixed(tables)
         packed, n = _pack(codes[:, 0], codes[:, 1])
-        out.put(int.from_bytes(packed.tobytes(), "little"), n)
+        out.put(int.from_bytes(packed, "little"), n)
 
 
 #: Size of the colour cache in bits, and the share of an image's bits that back-references must save to be used; a cache three times that, as each cached colour is read singly.
