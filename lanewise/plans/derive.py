@@ -115,9 +115,9 @@ def as_bases(letters: Column) -> Column:
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_no, doc_id, window_no, lane, tile, pass, seq, w (the letters), barcode."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", as_letters(F.col("text")).alias("w"))
-    n = F.floor(F.length("w") / LENGTH).cast("int")
-    cut = docs.where(n > 0).select("doc_id", "w", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    window = F.substr("w", F.col("i") * LENGTH + 1, F.lit(LENGTH))
+    # one pass over a text, however long
+    cut = docs.select("doc_id", F.posexplode(F.regexp_extract_all("w", F.lit(f"[a-z]{{{LENGTH}}}"), F.lit(0))).alias("i", "window"))
+    window = F.col("window")
     return cut.select(
         # windows from the ten-thousandth on have numbers of their own, below zero
         F.when(F.col("i") < 10000, F.col("doc_id") * 10000 + F.col("i")).otherwise(-(F.col("doc_id") * 16777216 + F.col("i")) - 1).alias("read_no"),
