@@ -225,11 +225,16 @@ def added(cases: DataFrame, accept: float = ACCEPT) -> DataFrame:
     return scored.where(F.col("probability") >= accept).select("_row", "start", "end", "kind", "probability")
 
 
+#: How many values each trait can have; a vote has three.
+VALUES = {"length": 17, "digits": 5, "left": 4, "right": 4, "first": 4, "breaks": 9} | dict.fromkeys(LABELERS, 3)
+
+
 def _trained(soft: DataFrame) -> DataFrame:
-    """kind, bias, weights (feature -> log of how much likelier it is on personal data): naive Bayes on soft labels p, counts raised by one."""
+    """kind, bias, weights (feature -> log of how much likelier it is on personal data): naive Bayes on soft labels p, the counts of all values raised by one."""
     totals = soft.groupBy("kind").agg(F.sum("p").alias("all_yes"), F.sum(1 - F.col("p")).alias("all_no"))
     sums = soft.select("kind", "p", F.explode("f").alias("f")).groupBy("kind", "f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
-    yes, no = (1 + F.col("yes")) / (2 + F.col("all_yes")), (1 + F.col("no")) / (2 + F.col("all_no"))
+    values = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in VALUES.items() for x in pair]), F.substring_index("f", "=", 1)), F.lit(2))
+    yes, no = (1 + F.col("yes")) / (values + F.col("all_yes")), (1 + F.col("no")) / (values + F.col("all_no"))
     entry = F.struct("f", F.ln(yes / no).alias("w"))
     return sums.join(F.broadcast(totals), "kind").groupBy("kind").agg(F.first(F.ln((1 + F.col("all_yes")) / (1 + F.col("all_no")))).alias("bias"), F.map_from_entries(F.collect_list(entry)).alias("weights"))
 
