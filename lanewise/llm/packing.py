@@ -122,7 +122,7 @@ def plan(histogram: dict[int, int], caps: Capacities) -> list[tuple[int, int, in
                 each = 1 if caps.select == "dot" else int(min(state // demand))
             else:
                 state = size.copy()
-                each = max(1, 1 if caps.select == "dot" else int(min(state // demand)))
+                each = max(1, int(min(state // demand)))  # no other bin holds the item, so a new one takes what it can
                 first, n, filled, g = next_bin, -(-left // each), 0, None
                 next_bin += n
             each = min(each, left)
